@@ -51,3 +51,16 @@ def tasks_for(df: DataFrame, bytes_per_task: int = 64 << 20) -> int:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(200_000, math.ceil(size / bytes_per_task))) if size < 1 << 60 else least
+
+
+def with_row_id(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with a column __uid that names each row for good.
+
+    It is the id itself where ids are whole numbers, unique and not null; else the
+    rows are numbered and written once.
+    """
+    if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
+        n, different = docs.agg(F.count(F.lit(1)), F.count_distinct(F.col(id_col))).first()
+        if n == different:
+            return docs.withColumn("__uid", F.col(id_col).cast("long"))
+    return materialise(docs.withColumn("__uid", F.monotonically_increasing_id()), "docs")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import lower_az, materialise, tasks_for
+from umbra.llm.common import lower_az, materialise, tasks_for, with_row_id
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -227,7 +227,7 @@ def _decide(rows: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the copies, columns unchanged."""
-    held = materialise(docs.withColumn("__uid", F.monotonically_increasing_id()), "docs")
+    held = with_row_id(docs, id_col)
     text = lower_az(F.coalesce(F.col(text_col), F.lit("")))
     rows = held.select(F.col("__uid").alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
     stay = build_index(rows).select(F.col("keep_uid").alias("__uid"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import BLANKS, UPPER, LOWER, materialise
+from umbra.llm.common import BLANKS, LOWER, UPPER, materialise, with_row_id
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -92,7 +92,7 @@ def _judged(held: DataFrame, min_docs: int, share: float, depleted: float) -> Da
 
 def keep_good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = LINE_MIN_DOCS, share: float = LINE_SHARE, depleted: float = DEPLETED_SHARE) -> DataFrame:
     """The rows of ``docs`` that :func:`judge_documents` keeps, columns and texts unchanged."""
-    held = materialise(docs.withColumn("__uid", F.monotonically_increasing_id()), "docs")
+    held = with_row_id(docs, id_col)
     stats = materialise(_stats(held.withColumn("__doc", F.col("__uid")), "__doc", text_col, host_col), "lines")
     judged = _judged(stats, min_docs, share, depleted)
     bad = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__uid"))

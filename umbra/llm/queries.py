@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from umbra.llm import sql
 from umbra.llm.common import table
 from umbra.llm.exact_dedup import exact_dedup
+from umbra.llm.near_dedup import near_dedup
 from umbra.llm.quality_rules import judge_documents
 from umbra.llm.sharding import shard_by_bytes
 from umbra.llm.url_filters import filter_urls
@@ -18,6 +19,10 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": _op1,
+        "op4_minhash": _op4,
         "op6_sharding": _op6,
         "op8_url_filters": _op8,
         "op9_quality_rules": _op9,
