@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from umbra.llm import sql
 from umbra.llm.common import table
 from umbra.llm.exact_dedup import exact_dedup
+from umbra.llm.html_extract import extract_pages
 from umbra.llm.near_dedup import near_dedup
 from umbra.llm.quality_rules import judge_documents
 from umbra.llm.sharding import shard_by_bytes
@@ -35,6 +36,10 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"))
 
 
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": _op1,
@@ -42,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": _op6,
         "op8_url_filters": _op8,
         "op9_quality_rules": _op9,
+        "op10_html_extraction": _op10,
     }
 
 
