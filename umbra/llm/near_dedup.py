@@ -210,7 +210,7 @@ def _components(sk: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     pivot_n = reps.select(F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"))
     stars = buckets.where("rep <> pivot").groupBy("rep", "n", "pivot").agg(F.count(F.lit(1)).alias("shared"))
     stars = materialise(stars.join(pivot_n, "pivot").where(sizes_fit(F.col("n"), F.col("pivot_n"))).select("rep", "pivot", "shared"), "stars")
-    wanted = stars.select(F.explode(F.array("rep", "pivot")).alias("uid")).distinct()
+    wanted = buckets.select(F.col("rep").alias("uid")).distinct()
     texts = materialise(texts.join(wanted, "uid", "left_semi"), "candidates")
     first = stars.groupBy("rep").agg(F.max(F.struct("shared", (-F.col("pivot")).alias("p"))).alias("x")).select("rep", (-F.col("x.p")).alias("pivot"))
     done = _compared(first, texts, k, percent, "first")
