@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from umbra.llm.common import table
 from umbra.llm.exact_dedup import drop_exact_copies
+from umbra.llm.near_dedup import drop_near_copies
+from umbra.llm.packing import pack_documents
 from umbra.llm.quality_rules import keep_good_documents
 
 
@@ -17,7 +19,16 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_copies(docs)
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_copies(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", near), ("best_fit_packing", pack)]
+#: Neither the groups of near copies nor the packing can be stated in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
