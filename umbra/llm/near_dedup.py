@@ -13,7 +13,8 @@ for components, so
 1. equal sets become one representative;
 2. each representative is compared with one pivot, that of most of its buckets;
 3. in buckets that still hold several components, every member is compared with
-   the bucket's pivot;
+   the bucket's pivot, and then members outside the bucket's largest component
+   with one of that component drawn by hash;
 4. what is left in such buckets is compared with all of the other components'
    members there, but for pairs that the sizes or the triangle inequality of the
    Jaccard distance over the bucket's pivot rule out.
@@ -202,7 +203,7 @@ def _components(sk: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     member = materialise(sk.where("n > 0").select("uid", "set1", "set2").join(sets, ["set1", "set2"]).select("uid", "rep", "n"), "members")
     reps = member.where("uid = rep").select("rep", "n")
     # Bucket rows of representatives only; buckets of one are dropped at once.
-    rows = sk.select("uid", "n", "keys").join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("rep"), "n", F.explode("keys").alias("key"))
+    rows = sk.select("uid", "n", "keys").join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("rep"), "n", F.posexplode("keys").alias("band", "key"))
     pivots = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "pivot")
     buckets = materialise(rows.join(pivots, "key"), "buckets")
     sizes_fit = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
@@ -216,18 +217,20 @@ def _components(sk: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     done = _compared(first, texts, k, percent, "first")
     label = _labels(reps, done.where("link"))
 
+    def settle(open_rows: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Compare pairs; the links so far, the labels they give and the buckets still open."""
+        more = _compared(pairs.select("rep", "pivot").distinct().join(done, ["rep", "pivot"], "left_anti"), texts, k, percent, name)
+        links = done.unionByName(more)
+        if more.where("link").isEmpty():
+            return links, label, open_rows
+        named = _labels(reps, links.where("link"))
+        return links, named, _open(buckets, named)
+
     open_rows = _open(buckets, label)
     if not open_rows.isEmpty():
-        again = open_rows.where("rep <> pivot").select("rep", "pivot").distinct().join(stars, ["rep", "pivot"], "left_semi").join(done, ["rep", "pivot"], "left_anti")
-        second = _compared(again, texts, k, percent, "second")
-        done = done.unionByName(second)
-        if not second.where("link").isEmpty():
-            label = _labels(reps, done.where("link"))
-            open_rows = _open(buckets, label)
-        rest = _rest(open_rows, done, percent, sizes_fit)
-        third = _compared(rest, texts, k, percent, "third")
-        if not third.where("link").isEmpty():
-            label = _labels(reps, done.unionByName(third).where("link"))
+        done, label, open_rows = settle(open_rows, open_rows.where("rep <> pivot").join(stars.select("rep", "pivot"), ["rep", "pivot"], "left_semi"), "second")
+        done, label, open_rows = settle(open_rows, _drawn(open_rows, sizes_fit), "third")
+        done, label, open_rows = settle(open_rows, _rest(open_rows, done, sk, percent, sizes_fit), "fourth")
     return member.join(label.select("rep", "label"), "rep").select("uid", "n", "label")
 
 
@@ -238,25 +241,44 @@ def _open(buckets: DataFrame, label: DataFrame) -> DataFrame:
     return materialise(named.join(several, "key", "left_semi"), "open")
 
 
-def _rest(open_rows: DataFrame, done: DataFrame, percent: int, sizes_fit) -> DataFrame:
+def _main(open_rows: DataFrame) -> DataFrame:
+    """(key, main): the label of most rows of a bucket."""
+    counts = open_rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    return counts.groupBy("key").agg(F.max(F.struct("m", "label")).alias("x")).select("key", F.col("x.label").alias("main"))
+
+
+def _pair(a: str, b: str) -> list:
+    return [F.greatest(a, b).alias("rep"), F.least(a, b).alias("pivot")]
+
+
+def _drawn(open_rows: DataFrame, sizes_fit) -> DataFrame:
+    """Members outside a bucket's largest component, each with one member of it drawn by hash: its buckets give it many partners."""
+    rows = open_rows.join(_main(open_rows), "key")
+    drawn = rows.where("label = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "n")).alias("x")).select("key", F.col("x.rep").alias("other"), F.col("x.n").alias("n_other"))
+    return rows.where("label <> main").join(drawn, "key").where(sizes_fit(F.col("n"), F.col("n_other"))).select(*_pair("rep", "other"))
+
+
+def _rest(open_rows: DataFrame, done: DataFrame, sk: DataFrame, percent: int, sizes_fit) -> DataFrame:
     """Pairs of different components in a bucket that neither sizes nor the triangle inequality rule out.
 
     Members outside a bucket's largest component are matched with all others,
-    so a large component is never matched with itself.
+    so a large component is never matched with itself, and a pair counts in the
+    first bucket only that it shares.
     """
     far = done.select("rep", "pivot", (1 - F.col("inter") / F.col("joined")).alias("d"))
-    rows = open_rows.join(far, ["rep", "pivot"], "left").select("key", "rep", "n", "label", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d"))
-    rows = materialise(rows, "open-distances")
-    main = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("x")).select("key", F.col("x.label").alias("main"))
-    few = rows.join(main, "key").where("label <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), F.col("d").alias("d_a"), "main")
+    keys = sk.select(F.col("uid").alias("rep"), "keys")
+    rows = open_rows.join(far, ["rep", "pivot"], "left").join(keys, "rep")
+    rows = materialise(rows.select("key", "band", "rep", "n", "label", "keys", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d")), "open-distances")
+    few = rows.join(_main(rows), "key").where("label <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), F.col("d").alias("d_a"), F.col("keys").alias("keys_a"), "main")
+    before = F.exists(F.slice(F.arrays_zip("keys", "keys_a"), F.lit(1), F.col("band")), lambda x: x["keys"] == x["keys_a"])
     met = few.join(rows, "key").where(
         (F.col("label") != F.col("l_a"))
         & ((F.col("label") == F.col("main")) | (F.col("a") < F.col("rep")))
         & sizes_fit(F.col("n"), F.col("n_a"))
         & (F.col("d").isNull() | F.col("d_a").isNull() | (F.abs(F.col("d") - F.col("d_a")) <= 1 - percent / 100 + 1e-9))
+        & ~before
     )
-    pairs = met.select(F.greatest("a", "rep").alias("rep"), F.least("a", "rep").alias("pivot")).distinct()
-    return pairs.join(done, ["rep", "pivot"], "left_anti")
+    return met.select(*_pair("a", "rep"))
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
