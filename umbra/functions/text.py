@@ -34,9 +34,11 @@ def rejoin_hyphenation(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)(\w)-[ \t]*\n(\w)", "$1$2")
 
 
-@F.pandas_udf("string")
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _nfkc(text: Column) -> Column:
+    def nfkc(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return F.pandas_udf(nfkc, "string")(text)
 
 
 def normalize_unicode(text: Column) -> Column:
