@@ -19,9 +19,13 @@ for components, so
    members there, but for pairs that the sizes or the triangle inequality of the
    Jaccard distance over the bucket's pivot rule out.
 
+A pair is compared only if its whole sketches allow the link: by their
+concentration, so many coordinates differ in a linked pair with a probability
+of at most ``MISS``. This spares documents that merely share a passage.
+
 After step 4 no two documents of different components share a bucket without
-having been compared or ruled out exactly. Banding misses a pair right at the
-threshold with a probability of at most ``MISS``, and less above it.
+having been compared or ruled out. Banding misses a pair right at the
+threshold with a probability of at most ``MISS``, too, and less above it.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.common import materialise, tasks_for, with_row_id
@@ -114,6 +118,28 @@ def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def two_bits(s: np.ndarray) -> np.ndarray:
+    """The two lowest bits of each coordinate, 32 coordinates to a word."""
+    low = np.zeros(-(-len(s) // 32) * 32, np.uint64)
+    low[: len(s)] = s & np.uint64(3)
+    return np.bitwise_or.reduce(low.reshape(-1, 32) << np.arange(0, 64, 2, dtype=np.uint64), axis=1).view(np.int64)
+
+
+def most_different(t: int, threshold: float) -> int:
+    """Coordinates whose two bits may differ: more, with a similarity at the threshold, has a probability below MISS."""
+    differ = (1 - threshold) * 0.75
+    return math.floor(t * differ + 5.2 * math.sqrt(t * differ * (1 - differ)) + 1)
+
+
+def alike(a, b, words: int, limit: int) -> Column:
+    """Whether two sketches (columns of two_bits) can belong to a linked pair."""
+    differ = F.lit(0)
+    for i in range(words):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return differ <= limit
+
+
 def banding(threshold: float) -> tuple[int, int]:
     """(bands, rows): the most rows whose bands miss a pair at the threshold with probability MISS at most, within MAX_COORDINATES."""
     best = None
@@ -131,19 +157,21 @@ def _sketches(k: int, bands: int, rows: int):
             uids, texts = (c for c in batch.columns)
             for start in range(0, batch.num_rows, 1000):
                 part = texts.slice(start, 1000)
-                sizes, one, two, keys = [], [], [], []
+                sizes, one, two, keys, bits = [], [], [], [], []
                 for text in part:
                     x = shingle_hashes(text.as_py(), k, words)
                     sizes.append(len(x))
                     if not len(x):
-                        one.append(0), two.append(0), keys.append(None)
+                        one.append(0), two.append(0), keys.append(None), bits.append(None)
                         continue
                     raw = xxhash.xxh3_128_intdigest(x.tobytes())
                     one.append((raw >> 64) - (1 << 63)), two.append((raw & (1 << 64) - 1) - (1 << 63))
-                    keys.append(band_keys(sketch(x, bands * rows), bands, rows))
+                    coordinates = sketch(x, bands * rows)
+                    keys.append(band_keys(coordinates, bands, rows))
+                    bits.append(two_bits(coordinates))
                 yield pa.RecordBatch.from_arrays(
-                    [uids.slice(start, 1000), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["uid", "n", "set1", "set2", "keys"],
+                    [uids.slice(start, 1000), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                    names=["uid", "n", "set1", "set2", "keys", "bits"],
                 )
 
     return run
@@ -208,9 +236,13 @@ def _components(sk: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     buckets = materialise(rows.join(pivots, "key"), "buckets")
     sizes_fit = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    pivot_n = reps.select(F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"))
+    bands, height = banding(percent / 100)
+    words, limit = -(-bands * height // 32), most_different(bands * height, percent / 100)
+    fits = lambda a, b: alike(a, b, words, limit)
+    bits = sk.where("n > 0").select(F.col("uid").alias("rep"), "bits")
+    pivot_n = reps.join(bits, "rep").select(F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("bits").alias("pivot_bits"))
     stars = buckets.where("rep <> pivot").groupBy("rep", "n", "pivot").agg(F.count(F.lit(1)).alias("shared"))
-    stars = materialise(stars.join(pivot_n, "pivot").where(sizes_fit(F.col("n"), F.col("pivot_n"))).select("rep", "pivot", "shared"), "stars")
+    stars = materialise(stars.join(pivot_n, "pivot").where(sizes_fit(F.col("n"), F.col("pivot_n"))).join(bits, "rep").where(fits(F.col("bits"), F.col("pivot_bits"))).select("rep", "pivot", "shared"), "stars")
     wanted = buckets.select(F.col("rep").alias("uid")).distinct()
     texts = materialise(texts.join(wanted, "uid", "left_semi"), "candidates")
     first = stars.groupBy("rep").agg(F.max(F.struct("shared", (-F.col("pivot")).alias("p"))).alias("x")).select("rep", (-F.col("x.p")).alias("pivot"))
@@ -229,8 +261,8 @@ def _components(sk: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     open_rows = _open(buckets, label)
     if not open_rows.isEmpty():
         done, label, open_rows = settle(open_rows, open_rows.where("rep <> pivot").join(stars.select("rep", "pivot"), ["rep", "pivot"], "left_semi"), "second")
-        done, label, open_rows = settle(open_rows, _drawn(open_rows, sizes_fit), "third")
-        done, label, open_rows = settle(open_rows, _rest(open_rows, done, sk, percent, sizes_fit), "fourth")
+        done, label, open_rows = settle(open_rows, _drawn(open_rows, bits, sizes_fit, fits), "third")
+        done, label, open_rows = settle(open_rows, _rest(open_rows, done, sk, percent, sizes_fit, fits), "fourth")
     return member.join(label.select("rep", "label"), "rep").select("uid", "n", "label")
 
 
@@ -251,14 +283,16 @@ def _pair(a: str, b: str) -> list:
     return [F.greatest(a, b).alias("rep"), F.least(a, b).alias("pivot")]
 
 
-def _drawn(open_rows: DataFrame, sizes_fit) -> DataFrame:
+def _drawn(open_rows: DataFrame, bits: DataFrame, sizes_fit, fits) -> DataFrame:
     """Members outside a bucket's largest component, each with one member of it drawn by hash: its buckets give it many partners."""
     rows = open_rows.join(_main(open_rows), "key")
     drawn = rows.where("label = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "n")).alias("x")).select("key", F.col("x.rep").alias("other"), F.col("x.n").alias("n_other"))
-    return rows.where("label <> main").join(drawn, "key").where(sizes_fit(F.col("n"), F.col("n_other"))).select(*_pair("rep", "other"))
+    pairs = rows.where("label <> main").join(drawn, "key").where(sizes_fit(F.col("n"), F.col("n_other"))).select("rep", "other").distinct()
+    both = pairs.join(bits, "rep").join(bits.select(F.col("rep").alias("other"), F.col("bits").alias("bits_other")), "other")
+    return both.where(fits(F.col("bits"), F.col("bits_other"))).select(*_pair("rep", "other"))
 
 
-def _rest(open_rows: DataFrame, done: DataFrame, sk: DataFrame, percent: int, sizes_fit) -> DataFrame:
+def _rest(open_rows: DataFrame, done: DataFrame, sk: DataFrame, percent: int, sizes_fit, fits) -> DataFrame:
     """Pairs of different components in a bucket that neither sizes nor the triangle inequality rule out.
 
     Members outside a bucket's largest component are matched with all others,
@@ -266,15 +300,16 @@ def _rest(open_rows: DataFrame, done: DataFrame, sk: DataFrame, percent: int, si
     first bucket only that it shares.
     """
     far = done.select("rep", "pivot", (1 - F.col("inter") / F.col("joined")).alias("d"))
-    keys = sk.select(F.col("uid").alias("rep"), "keys")
+    keys = sk.select(F.col("uid").alias("rep"), "keys", "bits")
     rows = open_rows.join(far, ["rep", "pivot"], "left").join(keys, "rep")
-    rows = materialise(rows.select("key", "band", "rep", "n", "label", "keys", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d")), "open-distances")
-    few = rows.join(_main(rows), "key").where("label <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), F.col("d").alias("d_a"), F.col("keys").alias("keys_a"), "main")
+    rows = materialise(rows.select("key", "band", "rep", "n", "label", "keys", "bits", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d")), "open-distances")
+    few = rows.join(_main(rows), "key").where("label <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), F.col("d").alias("d_a"), F.col("keys").alias("keys_a"), F.col("bits").alias("bits_a"), "main")
     before = F.exists(F.slice(F.arrays_zip("keys", "keys_a"), F.lit(1), F.col("band")), lambda x: x["keys"] == x["keys_a"])
     met = few.join(rows, "key").where(
         (F.col("label") != F.col("l_a"))
         & ((F.col("label") == F.col("main")) | (F.col("a") < F.col("rep")))
         & sizes_fit(F.col("n"), F.col("n_a"))
+        & fits(F.col("bits"), F.col("bits_a"))
         & (F.col("d").isNull() | F.col("d_a").isNull() | (F.abs(F.col("d") - F.col("d_a")) <= 1 - percent / 100 + 1e-9))
         & ~before
     )
@@ -302,7 +337,7 @@ def _rows(held: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _grouped(held: DataFrame, k: int, percent: int) -> DataFrame:
     bands, rows = banding(percent / 100)
-    sk = materialise(held.select("uid", "text").mapInArrow(_sketches(k, bands, rows), "uid long, n long, set1 long, set2 long, keys array<long>"), "sketches")
+    sk = materialise(held.select("uid", "text").mapInArrow(_sketches(k, bands, rows), "uid long, n long, set1 long, set2 long, keys array<long>, bits array<long>"), "sketches")
     found = _components(sk, held.select("uid", "text"), k, percent)
     ids = held.select("uid", "doc_id")
     named = materialise(ids.join(found, "uid", "left").select("uid", "doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("label", "uid").alias("label")), "named")
