@@ -11,12 +11,17 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
-_NIBBLES = "flatten(list_transform(range(0, octet_length(encode(t))), lambda i: [instr('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1, instr('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1]))"
+_HEX = "'0123456789ABCDEF'"
+
+
+def _half(crc: str, nibble: str) -> str:
+    return f"xor({crc} >> 4, ({CRC_TABLE}::BIGINT[])[(xor({crc}, {nibble}) & 15) + 1])"
+
+
 OP6 = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents),
-c AS (SELECT doc_id, octet_length(encode(t)) + 1 AS size,
-             xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform({_NIBBLES}, lambda n: n::BIGINT)),
-                 lambda a, n: xor(a >> 4, ({CRC_TABLE}::BIGINT[])[(xor(a, n) & 15) + 1])), 4294967295::BIGINT) AS text_crc32 FROM d),
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents),
+b AS (SELECT doc_id, size, list_transform(h, lambda x: ((instr({_HEX}, x[1]) - 1) * 16 + instr({_HEX}, x[2]) - 1)::BIGINT) AS bytes FROM d),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, n: {_half(f"({_half('a', 'n')})", "(n >> 4)")}), 4294967295::BIGINT) AS text_crc32 FROM b),
 p AS (SELECT *, (sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING))::BIGINT AS ran, (sum(size) OVER ())::BIGINT AS total FROM c),
 s AS (SELECT *, least(7, ((2 * (ran - size) + size) * 8) // (2 * total))::INTEGER AS shard FROM p)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
@@ -66,8 +71,8 @@ WITH d AS (
 w AS (
   SELECT *, regexp_extract_all(t, '{_WORD}') AS words, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS lines FROM d),
 win AS (
-  SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w),
-tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM win),
+  SELECT doc_id, unnest(list_transform(range(1, len(words) - 1), lambda i: {{'i': i, 'k': words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]}})) AS x FROM w),
+tri AS (SELECT doc_id, x.i AS i, count(*) OVER (PARTITION BY doc_id, x.k) AS n FROM win),
 rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS at FROM tri WHERE n > 1) GROUP BY doc_id),
 line AS (
   SELECT doc_id, host, t, unnest(lines) AS l FROM w),
