@@ -113,8 +113,8 @@ SELECT doc_id, start, "end", round(round(score, 12), 5) AS score, entity_group,
 _LABELS = "CASE g WHEN 'LOC' THEN 'ORT' WHEN 'PER' THEN 'PERSON' ELSE g END"
 _NUMBERED = f"""{_LINES},
 k AS (SELECT *, {_LABELS} AS type, trim(word) AS w, lower(trim(word)) AS key FROM sp),
-m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY st, ord) AS at FROM k WHERE score >= 0.5),
-f AS (SELECT doc_id, type, key, min(at) AS first_at FROM m GROUP BY ALL),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY st, ord) AS nth FROM k WHERE score >= 0.5),
+f AS (SELECT doc_id, type, key, min(nth) AS first_at FROM m GROUP BY ALL),
 num AS (SELECT *, '[' || type || '_' || row_number() OVER (PARTITION BY doc_id, type ORDER BY first_at) || ']' AS placeholder FROM f)
 """
 
@@ -202,6 +202,10 @@ SELECT doc_id, CASE WHEN word = '8010 Graz' THEN length(text) - 9 ELSE instr(tex
         "tax_spans": r"""WITH src AS (SELECT c_custkey AS doc_id, 'St.-Nr. ' || (c_custkey % 90 + 10) || CASE WHEN c_custkey % 3 = 0 THEN '-' ELSE '/' END || (c_custkey % 900 + 100) || '/' || (c_custkey % 9000 + 1000 - CASE WHEN c_custkey % 5 = 0 THEN 950 ELSE 0 END) || ' gilt' AS text FROM customer), """ + _spans("src", r"\b\d{2,3}[-/]\d{3,4}[-/]\d{4}\b"),
         "context_numbers": """WITH n AS (SELECT c_custkey AS doc_id, c_custkey % 5 AS m, 'P' || lpad((c_custkey % 10000000)::VARCHAR, 7, '0') AS word FROM customer),
 s AS (SELECT *, CASE m WHEN 0 THEN 15 WHEN 1 THEN 15 WHEN 3 THEN 19 END AS start FROM n WHERE m IN (0, 1, 3)) SELECT doc_id, start::INTEGER AS start, (start + 8)::INTEGER AS "end", word FROM s""",
+        "regex_layer": """WITH t(template, g) AS (VALUES (0, 'PER'), (0, 'AKTENZAHL'), (0, 'EMAIL'), (1, 'PER'), (1, 'SVN'), (1, 'IBAN'), (2, 'KFZ'), (2, 'PER'), (2, 'GEBURTSDATUM'), (3, 'GEBURTSDATUM'), (3, 'AKTENZAHL'), (3, 'EMAIL'), (3, 'PER'))
+SELECT c_custkey % 4 AS template, g AS entity_group, count(*) AS n FROM customer JOIN t ON template = c_custkey % 4 GROUP BY 1, 2""",
+        "pipeline_accuracy": """WITH t(template, category) AS (VALUES (0, 'PER'), (0, 'AKTENZAHL'), (0, 'EMAIL'), (1, 'PER'), (1, 'SVN'), (1, 'IBAN'), (2, 'KFZ'), (2, 'PER'), (2, 'GEBURTSDATUM'), (3, 'GEBURTSDATUM'), (3, 'AKTENZAHL'), (3, 'EMAIL'), (3, 'PER'))
+SELECT category, count(*) AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1 FROM customer JOIN t ON template = c_custkey % 4 GROUP BY 1""",
         "name_lexicon_hits": rf"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\pL\pN_]+')) AS name FROM documents)
 SELECT name, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM w WHERE list_contains({_list([n.lower() for n in (*L.FIRST_NAMES, *L.LAST_NAMES)])}, name) GROUP BY name""",
         "art9_terms": f"""WITH t AS (SELECT c_custkey AS doc_id, {_pick([t for of in L.ART9_TERMS.values() for t in of], 'c_custkey')} AS term FROM customer) SELECT doc_id, (11 + length(term))::INTEGER AS "end", 11::INTEGER + CASE WHEN term IN ('die grünen', 'die gruenen') THEN 0 ELSE 0 END AS start FROM t""",
@@ -229,7 +233,7 @@ WHERE NOT list_contains(['graf'], lower({_pick(L.LAST_NAMES, 'c_custkey')})) AND
 UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN lower({_pick(L.LAST_NAMES, 'c_custkey * 5 + 3')}) = 'graf' THEN lower({_pick(L.FIRST_NAMES, 'c_custkey')}) ELSE lower({_person('c_custkey')}) END ELSE lower({_pick(L.LAST_NAMES, 'c_custkey')}) END FROM customer
 WHERE list_contains(['graf'], lower({_pick(L.LAST_NAMES, 'c_custkey')})) OR list_contains(['graf'], lower({_pick(L.LAST_NAMES, 'c_custkey * 5 + 3')}))""",
         "placeholder_numbering": f"WITH {_NUMBERED} SELECT doc_id, placeholder, count(*) AS n FROM m JOIN num USING (doc_id, type, key) GROUP BY 1, 2",
-        "mapping_longest": f"WITH {_NUMBERED}, c AS (SELECT m.doc_id, placeholder, w, row_number() OVER (PARTITION BY m.doc_id, placeholder ORDER BY length(w) DESC, at) AS n FROM m JOIN num USING (doc_id, type, key)) SELECT doc_id, placeholder, w AS original FROM c WHERE n = 1",
+        "mapping_longest": f"WITH {_NUMBERED}, c AS (SELECT m.doc_id, placeholder, w, row_number() OVER (PARTITION BY m.doc_id, placeholder ORDER BY length(w) DESC, nth) AS n FROM m JOIN num USING (doc_id, type, key)) SELECT doc_id, placeholder, w AS original FROM c WHERE n = 1",
         "redaction_protocol": f"WITH {_LINES} SELECT doc_id, {_LABELS} AS category, count(*)::INTEGER AS count, round(min(score), 6) AS min_confidence, round(max(score), 6) AS max_confidence FROM sp WHERE score >= 0.5 GROUP BY 1, 2",
         "kapa_actions": f"WITH {_LINES} SELECT doc_id::VARCHAR AS document_id, CASE WHEN score < 0.85 THEN 'flagged_for_review' ELSE 'anonymized' END AS action, count(*) AS n FROM sp WHERE score >= 0.5 GROUP BY 1, 2",
         "context_snippets": "WITH src AS (SELECT * FROM documents), " + _spans("src", _EMAIL, cols="found.doc_id, found.start, '...' || substr(d.text, greatest(found.start - 30, 0) + 1, found.start - greatest(found.start - 30, 0)) || '[EMAIL_1]' || substr(d.text, found.\"end\" + 1, 30) || '...' AS snippet") + " JOIN documents d USING (doc_id)",
@@ -239,11 +243,11 @@ WHERE list_contains(['graf'], lower({_pick(L.LAST_NAMES, 'c_custkey')})) OR list
         "reidentified": f"WITH {_CORPUS} SELECT doc_id, text FROM corpus",
         "redacted_emails": rf"SELECT doc_id, len(regexp_extract_all(text, '{_EMAIL}'))::INTEGER AS n, regexp_replace(regexp_replace(regexp_replace(text, '{_EMAIL}', chr(57344) || '[GESCHWÄRZT:EMAIL]' || chr(57345), 'g'), '([^ \n\t(])' || chr(57344), '\1 ', 'g'), chr(57345) || '([^ \n\t.,;:!?)' || chr(57344) || '])', ' \1', 'g').replace(chr(57344), '').replace(chr(57345), '') AS output FROM documents WHERE regexp_matches(text, '{_EMAIL}')",
         "quasi_id_windows": f"""WITH t AS (SELECT c_custkey AS doc_id, (c_custkey % 5 * 30)::INT AS pad, {_pick(('Sie ist Notarin hier.', 'Jahrgang 1980 laut Akt.', 'die Patientin kam.', 'Sohn des Bauern war da.', 'nichts weiter.'), 'c_custkey * 3')} AS tail FROM customer),
-s AS (SELECT doc_id, 28 + 2 * pad AS at, tail, CASE tail WHEN 'Sie ist Notarin hier.' THEN 'profession, role' WHEN 'Jahrgang 1980 laut Akt.' THEN 'age, role' WHEN 'Sohn des Bauern war da.' THEN 'relationship, role' END AS kinds FROM t WHERE 28 + 2 * pad <= 210),
+s AS (SELECT doc_id, 29 + 2 * pad AS pos, tail, CASE tail WHEN 'Sie ist Notarin hier.' THEN 'profession, role' WHEN 'Jahrgang 1980 laut Akt.' THEN 'age, role' WHEN 'Sohn des Bauern war da.' THEN 'relationship, role' END AS kinds FROM t WHERE 29 + 2 * pad <= 210),
 h AS (SELECT *, CASE tail WHEN 'Sie ist Notarin hier.' THEN 4 ELSE 0 END AS off, CASE tail WHEN 'Sie ist Notarin hier.' THEN 'ist Notarin' WHEN 'Jahrgang 1980 laut Akt.' THEN 'Jahrgang 1980' ELSE 'Sohn des Bauern' END AS w FROM s WHERE kinds IS NOT NULL),
-v AS (SELECT * FROM h WHERE at + off <= 10 + 200)
+v AS (SELECT * FROM h WHERE pos + off <= 10 + 200)
 SELECT doc_id, 10::INTEGER AS start, 20::INTEGER AS "end", 'die Zeugin' AS word, 'Quasi-Identifikator: ' || kinds || ' in Kombination (k~4)' AS context FROM v
-UNION ALL SELECT doc_id, (at + off)::INTEGER, (at + off + length(w))::INTEGER, w, 'Quasi-Identifikator: ' || kinds || ' in Kombination (k~4)' FROM v""",
+UNION ALL SELECT doc_id, (pos + off)::INTEGER, (pos + off + length(w))::INTEGER, w, 'Quasi-Identifikator: ' || kinds || ' in Kombination (k~4)' FROM v""",
         "placeholder_format": f"SELECT c_custkey AS k, 5::INTEGER AS position, {_pick(_MARKS, 'c_custkey')} AS snippet FROM customer WHERE list_contains(['[x]', '[AUSTRIAN VAT ID_1]', '[EMAIL]'], {_pick(_MARKS, 'c_custkey')})",
         "name_pair_leaks": f"""WITH n AS (SELECT c_custkey AS k, {_person('c_custkey')} AS full_name, {_pick(L.LAST_NAMES, 'c_custkey')} AS last FROM customer)
 SELECT k, 'leak' AS type, 6::INTEGER AS position, full_name AS snippet FROM n WHERE k % 2 = 0 UNION ALL SELECT k, 'warn', 6::INTEGER, last FROM n WHERE k % 2 = 1""",
