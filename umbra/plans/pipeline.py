@@ -36,6 +36,15 @@ def normalise(text: Column, settings: Settings | None = None) -> Column:
     return text
 
 
+def _kept_apart(value: Column) -> Column:
+    """``value`` as it is, but no filter above is moved below it.
+
+    Filters on entities (explode adds one by itself) would otherwise be pushed
+    through every stage, with the whole detection written out in their place.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def detect(df: DataFrame, text: str = "text", settings: Settings | None = None, detectors: Sequence[Detector] = (), recognizers: Sequence | None = None, scorer: Scorer | None = None) -> DataFrame:
     """``df`` with norm_text and entities (sorted, disjoint but for context entities that touch none)."""
     settings = settings or Settings()
@@ -62,7 +71,7 @@ def detect(df: DataFrame, text: str = "text", settings: Settings | None = None,
             df = df.withColumn("__merged", F.concat("__merged", "__odd"))
         df = df.withColumn("__quasi", quasi_identifiers(norm, F.col("__merged"), settings))
         df = df.withColumn("__merged", F.concat("__merged", "__quasi"))
-    df = df.withColumn("entities", sorted_by_start(F.col("__merged")))
+    df = df.withColumn("entities", _kept_apart(sorted_by_start(F.col("__merged"))))
     return df.drop(*[c for c in df.columns if c.startswith("__")])
 
 
