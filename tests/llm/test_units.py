@@ -136,6 +136,17 @@ def test_main_text():
     assert content("<!-- open " + "x" * 100) == "" and content("no markup at all, just text.") == "no markup at all, just text."
 
 
+def test_main_text_keeps_what_stands_beside_the_longest_child():
+    long = "A sentence of some length, with marks in it, that goes on and on. " * 6
+    body = f"<div class='entry-content'><p>{long}</p><p>{long}</p></div>"
+    want = f"Title\n\nlead\n\n{long.strip()}\n\n{long.strip()}"
+    assert content(f"<article><h1>Title</h1><p>lead</p>{body}</article>") == want
+    assert content(f"<body><div id=page><h1>Title</h1><p>lead</p>{body}</div></body>") == want
+    for whole in (f"<ul><li>{long}<li>{long}</ul>", f"<table><tr><td>{long}<td>{long}</table>", f"<blockquote><p>{long}</p><p>{long}</p></blockquote>"):
+        assert content(f"<article><h1>Title</h1><p>lead</p>{whole}</article>") == want
+        assert content(f"<div><h1>Title</h1><p>lead</p>{whole}</div>") == want
+
+
 def test_warc_round_trip():
     payload = "<html><head><title>A &amp; B</title></head><body><p>Text</p><script>no</script><a href='/x'>l</a></body></html>".encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload

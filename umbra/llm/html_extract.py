@@ -6,8 +6,10 @@ mean punctuation per block and the spread of both. The two ratios are fused,
 the value of the sequence of blocks is smoothed with a Gaussian window, and a
 path is content when the mean smoothed value of its blocks reaches a share of
 the spread over the page. The content's container is the deepest element that
-holds the content paths' text; short blocks inside it (headings, list items,
-one-word paragraphs) belong to the article and are kept with it.
+holds all blocks of content paths, but a whole article or main element and never
+a list, table or quotation; short blocks inside it (headings, list items,
+one-word paragraphs) belong to the article and are kept with it, as are the
+headings beside it and what stands between them and it.
 
 Elements that are never part of an article (menus, page headers and footers,
 sidebars, forms, scripts, styles, adverts, notices, reader comments) are left
@@ -43,6 +45,8 @@ IMPLIED = {
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTION = frozenset("article main section body html div td table ul ol dl blockquote".split())
+#: Elements that can be the container of an article; one that is a list, table or quotation has its heading and intro beside it.
+HOLDERS = frozenset("article main section body html div center".split())
 #: Whole words of class, id or role values that mark what is no part of an article.
 HINT_WORDS = "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside related recommended recommendations share sharing social footer masthead topbar toolbar pagination pager comment comments commentlist disqus replies discussion widget login signup skip complementary contentinfo search".split()
 HINT = re.compile(r"(?:^|[^a-z0-9])(?:" + "|".join(HINT_WORDS) + r")(?:$|[^a-z0-9])")
@@ -197,26 +201,37 @@ def content(page: str | None) -> str:
     chosen = [b for b in pool if score[_name(b.path)] >= limit]
     holder = _container(chosen)
     if not holder or holder[-1][1] in ("html", "body"):
-        # No container of its own: from the first to the last chosen block, with a heading right before.
-        at = [i for i, b in enumerate(pool) if score[_name(b.path)] >= limit]
-        first = at[0] - (at[0] > 0 and pool[at[0] - 1].path[-1:] and pool[at[0] - 1].path[-1][1] in HEADINGS)
-        return "\n\n".join(b.text for b in pool[first : at[-1] + 1])
-    return "\n\n".join(b.text for b in pool if b.path[: len(holder)] == holder)
+        # No container of its own: from the first to the last chosen block.
+        within = [i for i, b in enumerate(pool) if score[_name(b.path)] >= limit]
+    else:
+        pool = found
+        within = [i for i, b in enumerate(pool) if b.path[: len(holder)] == holder]
+    return "\n\n".join(b.text for b in pool[_headed(pool, within[0], holder) : within[-1] + 1])
 
 
 def _container(chosen: list[_Block]) -> tuple:
-    """Path of the deepest element that holds all the chosen text but for stray blocks (a tenth of it at most)."""
-    total = sum(len(b.text) for b in chosen)
+    """Path of the deepest element that holds all chosen blocks, an article or main element as a whole; never a part of a list, table or quotation."""
+    paths = [b.path for b in chosen]
     holder: tuple = ()
-    while True:
-        weight: dict[tuple, int] = {}
-        for b in chosen:
-            if len(b.path) > len(holder) + 1 and b.path[: len(holder)] == holder and b.path[len(holder)][1] in SECTION:
-                weight[b.path[len(holder)]] = weight.get(b.path[len(holder)], 0) + len(b.text)
-        best = max(weight, key=weight.get, default=None)
-        if best is None or weight[best] < 0.9 * total:
-            return holder
-        holder += (best,)
+    for step in zip(*paths):  # noqa: B905
+        if any(x[0] != step[0][0] for x in step) or step[0][1] not in HOLDERS:
+            break
+        holder += (step[0],)
+        if step[0][1] in ("article", "main"):
+            break
+    return holder
+
+
+def _headed(pool: list[_Block], first: int, holder: tuple) -> int:
+    """Where the text starts: at the headings that stand beside the container or one around it, with what follows them."""
+    if holder and holder[-1][1] in ("article", "main"):
+        return first
+    own = pool[first].path
+    for depth in range(len(own) - 1, -1, -1):
+        beside = [i for i in range(first) if len(pool[i].path) == depth + 1 and pool[i].path[:depth] == own[:depth] and pool[i].path[depth][1] in HEADINGS]
+        if beside:
+            return beside[0]
+    return first - (first > 0 and bool(pool[first - 1].path) and pool[first - 1].path[-1][1] in HEADINGS)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
