@@ -147,6 +147,15 @@ def test_main_text_keeps_what_stands_beside_the_longest_child():
         assert content(f"<div><h1>Title</h1><p>lead</p>{whole}</div>") == want
 
 
+def test_main_text_is_dropped_by_no_loose_match():
+    long = "A sentence of some length, with marks in it, that goes on and on. " * 6
+    for wrapper in ("style='overflow:hidden'", "data-role='hidden'", "class='content has-sidebar'", "class='elementor-widget-container'", "class='post no-comments'", "class='widget'"):
+        assert content(f"<body><div {wrapper}><h1>Title</h1><p>{long}</p><p>{long}</p></div></body>") == f"Title\n\n{long.strip()}\n\n{long.strip()}", wrapper
+    for teaser in ("<article><p>Teaser, short.</p></article>", "<div class='post-meta'><p>By me, today.</p></div>"):
+        assert long.strip() in content(f"<body>{teaser}<div><p>{long}</p><p>{long}</p></div></body>"), teaser
+    assert content(f"<body><div hidden><p>{long}</p></div><div aria-hidden=true>{long}</div><div class='x share'>Share it!</div><div><p>{long}</p><p>{long}</p></div></body>") == f"{long.strip()}\n\n{long.strip()}"
+
+
 def test_warc_round_trip():
     payload = "<html><head><title>A &amp; B</title></head><body><p>Text</p><script>no</script><a href='/x'>l</a></body></html>".encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload

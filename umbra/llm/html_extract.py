@@ -11,9 +11,10 @@ a list, table or quotation; short blocks inside it (headings, list items,
 one-word paragraphs) belong to the article and are kept with it, as are the
 headings beside it and what stands between them and it.
 
-Elements that are never part of an article (menus, page headers and footers,
-sidebars, forms, scripts, styles, adverts, notices, reader comments) are left
-out wherever they stand.
+Elements that are never part of an article (nav, aside, page headers and footers,
+forms, scripts, styles, what is hidden) are left out wherever they stand. Those
+that only their class, id or role marks (menus, sidebars, adverts, notices,
+reader comments) are scored with the page and left out where they score low.
 """
 
 from __future__ import annotations
@@ -47,13 +48,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTION = frozenset("article main section body html div td table ul ol dl blockquote".split())
 #: Elements that can be the container of an article; one that is a list, table or quotation has its heading and intro beside it.
 HOLDERS = frozenset("article main section body html div center".split())
-#: Whole words of class, id or role values that mark what is no part of an article.
-HINT_WORDS = "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside related recommended recommendations share sharing social footer masthead topbar toolbar pagination pager comment comments commentlist disqus replies discussion widget login signup skip complementary contentinfo search".split()
-HINT = re.compile(r"(?:^|[^a-z0-9])(?:" + "|".join(HINT_WORDS) + r")(?:$|[^a-z0-9])")
+#: Class, id or role values (each blank-separated one as a whole) that mark what may be no part of an article.
+HINT_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside related recommended recommendations share sharing social footer masthead topbar toolbar pagination pager comment comments commentlist disqus replies discussion widget login signup skip complementary contentinfo search".split())
 ARTICLE_HINT = re.compile(r"(?:^|[^a-z0-9])(?:article|articlebody|content|entry|post|story|main)(?:$|[^a-z0-9])")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？]")
 
@@ -63,10 +63,10 @@ THRESHOLD = 0.3
 
 
 class _Block:
-    __slots__ = ("path", "parts", "text")
+    __slots__ = ("name", "path", "parts", "text")
 
     def __init__(self, path: tuple):
-        self.path, self.parts, self.text = path, [], ""
+        self.path, self.parts, self.text, self.name = path, [], "", _name(path)
 
 
 def _hints(attributes: str) -> tuple[str, bool]:
@@ -76,7 +76,7 @@ def _hints(attributes: str) -> tuple[str, bool]:
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
             words.append(value)
-        elif name == "hidden" or value == "true":
+        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             hidden = True
     return " ".join(words), hidden
 
@@ -84,11 +84,12 @@ def _hints(attributes: str) -> tuple[str, bool]:
 def blocks(page: str) -> list[_Block]:
     """Blocks of text outside dropped elements, in page order, with their tag paths.
 
-    A path is a tuple of (number of the element, tag, is an article hint), the
-    number telling siblings of one kind apart for the container search.
+    A path is a tuple of (number of the element, tag, is an article hint, is
+    marked as no part of an article), the number telling siblings of one kind
+    apart for the container search.
     """
     found: list[_Block] = []
-    stack: list[tuple] = []  # (tag, element number, dropped, hint)
+    stack: list[tuple] = []  # (tag, element number, dropped, hint, marked)
     current: _Block | None = None
     at, n = 0, 0
 
@@ -97,7 +98,7 @@ def blocks(page: str) -> list[_Block]:
         if not text or (stack and stack[-1][2]):
             return
         if current is None:
-            current = _Block(tuple((x[1], x[0], x[3]) for x in stack))
+            current = _Block(tuple((x[1], x[0], x[3], x[4]) for x in stack))
         current.parts.append(text)
 
     def end() -> None:
@@ -153,8 +154,9 @@ def blocks(page: str) -> list[_Block]:
         n += 1
         hint, hidden = _hints(m[3]) if m[3].strip() else ("", False)
         inside = any(x[0] in ("article", "main") for x in stack)
-        dropped = bool(stack and stack[-1][2]) or tag in DROPPED or hidden or (tag == "header" and not inside) or (tag not in ("body", "html", "article", "main") and bool(HINT.search(hint)))
-        stack.append((tag, n, dropped, tag in ("article", "main") or bool(ARTICLE_HINT.search(hint))))
+        dropped = bool(stack and stack[-1][2]) or tag in DROPPED or hidden or (tag == "header" and not inside)
+        marked = tag not in ("body", "html", "article", "main") and not HINT_WORDS.isdisjoint(hint.split())
+        stack.append((tag, n, dropped, tag in ("article", "main") or bool(ARTICLE_HINT.search(hint)), marked))
     add(page[at:])
     end()
     return found
@@ -164,7 +166,7 @@ def _scores(found: list[_Block]) -> dict[tuple, float]:
     """Mean smoothed value of every tag path: the fused ratios of its text and punctuation."""
     by: dict[tuple, list[_Block]] = {}
     for b in found:
-        by.setdefault(_name(b.path), []).append(b)
+        by.setdefault(b.name, []).append(b)
     value = {}
     for name, own in by.items():
         lengths = [len(b.text) for b in own]
@@ -173,17 +175,52 @@ def _scores(found: list[_Block]) -> dict[tuple, float]:
         spread = math.sqrt(sum((x - ratio) ** 2 for x in lengths) / len(own))
         spread_marks = math.sqrt(sum((x - punct) ** 2 for x in marks) / len(own))
         value[name] = (ratio + spread) * math.log2(2 + punct + spread_marks)
-    line = [value[_name(b.path)] for b in found]
+    line = [value[b.name] for b in found]
     sums: dict[tuple, list[float]] = {}
     half = len(SMOOTH) // 2
     for i, b in enumerate(found):
-        near = [(line[j], SMOOTH[j - i + half]) for j in range(max(0, i - half), min(len(line), i + half + 1)) if _name(found[j].path)[:-1] == _name(b.path)[:-1]]
-        sums.setdefault(_name(b.path), []).append(sum(v * w for v, w in near) / sum(w for _, w in near))
+        near = [(line[j], SMOOTH[j - i + half]) for j in range(max(0, i - half), min(len(line), i + half + 1)) if found[j].name[:-1] == b.name[:-1]]
+        sums.setdefault(b.name, []).append(sum(v * w for v, w in near) / sum(w for _, w in near))
     return {name: sum(v) / len(v) for name, v in sums.items()}
 
 
 def _name(path: tuple) -> tuple:
-    return tuple(tag for _, tag, _ in path)
+    return tuple(f"!{tag}" if marked else tag for _, tag, _, marked in path)
+
+
+def _limit(score: dict[tuple, float], pool: list[_Block]) -> float:
+    values = [score[b.name] for b in pool]
+    mean = sum(values) / len(values)
+    return THRESHOLD * math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
+
+
+def _narrowed(found: list[_Block]) -> list[_Block]:
+    """Blocks of article elements or hints if these hold most of the text that scores, else all."""
+    hinted = [b for b in found if any(h for _, _, h, _ in b.path)]
+    if not hinted or len(hinted) == len(found):
+        return found
+    score = _scores(found)
+    limit = _limit(score, found)
+    weight = {False: 0, True: 0}
+    for b in found:
+        if score[b.name] >= limit and not any(m for _, _, _, m in b.path):
+            weight[any(h for _, _, h, _ in b.path)] += len(b.text)
+    return hinted if weight[True] > weight[False] else found
+
+
+def _unmarked(pool: list[_Block]) -> list[_Block]:
+    """``pool`` without marked elements in which no path scores as high as the mean of the blocks outside them."""
+    if not any(m for b in pool for _, _, _, m in b.path):
+        return pool
+    score = _scores(pool)
+    inside: dict[int, list[float]] = {}
+    for b in pool:
+        for n, _, _, marked in b.path:
+            if marked:
+                inside.setdefault(n, []).append(score[b.name])
+    total = sum(score[b.name] for b in pool)
+    low = {n for n, v in inside.items() if len(v) < len(pool) and max(v) < (total - sum(v)) / (len(pool) - len(v))}
+    return [b for b in pool if not any(x[0] in low for x in b.path)]
 
 
 def content(page: str | None) -> str:
@@ -191,20 +228,17 @@ def content(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    # An article element or hint narrows the search where it has most of such text.
-    hinted = [b for b in found if any(h for _, _, h in b.path)]
-    pool = hinted or found
+    pool = _unmarked(_narrowed(found))
     score = _scores(pool)
-    values = [score[_name(b.path)] for b in pool]
-    mean = sum(values) / len(values)
-    limit = THRESHOLD * math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    chosen = [b for b in pool if score[_name(b.path)] >= limit]
+    limit = _limit(score, pool)
+    chosen = [b for b in pool if score[b.name] >= limit]
     holder = _container(chosen)
     if not holder or holder[-1][1] in ("html", "body"):
         # No container of its own: from the first to the last chosen block.
-        within = [i for i, b in enumerate(pool) if score[_name(b.path)] >= limit]
+        within = [i for i, b in enumerate(pool) if score[b.name] >= limit]
     else:
-        pool = found
+        inside = {id(b) for b in pool}
+        pool = [b for b in found if id(b) in inside or not any(m for _, _, _, m in b.path)]
         within = [i for i, b in enumerate(pool) if b.path[: len(holder)] == holder]
     return "\n\n".join(b.text for b in pool[_headed(pool, within[0], holder) : within[-1] + 1])
 
