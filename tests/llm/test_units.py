@@ -103,6 +103,24 @@ def test_dropout_varies_and_short_and_long_agendas_agree():
         assert codec._short(w, bar, base) == codec._long(w, bar, base)
 
 
+def test_dropout_varies_by_place_for_words_of_every_length():
+    codec = md.load(MODEL)
+    enc, plain = md.Encoder(codec, 0.1, 3, 4), md.Encoder(codec, 0.0, 3, 4)
+    for word in ("and", "understanding", "internationalisation"):
+        one = {enc.encode(word, k).tobytes() for k in range(300)}
+        assert len(one) > (4 if len(word) > 6 else 1), word
+        assert plain.encode(word, 1).tobytes() in one
+    places = enc.encode("understanding " * 300, 1).tolist()
+    again = codec.decode(places)
+    assert again == "understanding " * 300 and len(places) > 300 * len(plain.encode("understanding", 1))
+    # What is kept of agendas gives what each occurrence draws on its own.
+    for rate in (0.1, 0.5, 1.0):
+        some = md.Encoder(codec, rate, 3, 4)
+        words = ["▁" + w for w in "the understanding of segmentation and internationalisation varies".split()] * 20
+        bases = md._bases(len(words), 5, 0)
+        assert some._drawn(words, bases) == [codec.word(w, some.bar, int(b)).tobytes() for w, b in zip(words, bases, strict=True)]
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5, 40, 3000):

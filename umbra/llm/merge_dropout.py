@@ -1,12 +1,14 @@
 """SentencePiece (BPE) encoding with seeded merge-dropout, and decoding.
 
 The agenda holds candidate merges by score, then position. A candidate that
-comes up is skipped when a keyed hash of the word and the candidate's place
-falls below the dropout rate; no random state is kept, so a text's
-segmentation depends on seed, row and rate alone, not on partitions, retries or
-order. Every occurrence of a short word takes one of ``variants`` hash keys by
-its document and position, a long word one key per seed; this bounds the
-segmentations a word has and lets workers keep them.
+comes up is skipped when a hash of its place in the word, keyed by seed, document
+and the word's position, falls below the dropout rate; no random state is kept,
+so a text's segmentation depends on seed, row and rate alone, not on partitions,
+retries or order. Every occurrence of every word draws anew for each candidate.
+
+Workers keep how the agenda of a word goes (which candidates come up as long as
+none is skipped, and how it goes on from each skip that was met), not what an
+occurrence drew; the draws of all words of a text are made at once.
 
 Decoding joins pieces and gives back the very text for any seed and rate.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,12 +30,12 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Segmentations a worker keeps in each of two generations, and the longest word it keeps.
-KEEP, KEEP_LENGTH = 500_000, 40
+#: Agendas (without dropout: segmentations) a worker keeps in each of two generations, and the longest word it keeps.
+KEEP, KEEP_LENGTH = 300_000, 40
+#: Words whose draws are made at once.
+AT_ONCE = 1 << 16
 #: No piece joins another character to a following space mark, so words can be taken one by one.
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words up to so many characters (with the space mark) take different keys at different places; longer ones, most of which are rare, one key per seed.
-VARIED = 6
 #: Words up to so many characters have their agenda scanned.
 SHORT = 48
 NEVER, UNKNOWN = 1 << 30, (1 << 20) - 1
@@ -82,11 +85,11 @@ class Codec:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("a piece holds a space mark after another character")
 
-    def word(self, word: str, rate: float, key: int) -> array:
-        """Ids of one word. A candidate merge is skipped if its keyed hash falls below ``rate``."""
-        bar = int(rate * (1 << 32))
-        base = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), key) if bar else 0
-        ends = self._long(word, bar, base) if len(word) > SHORT else self._short(word, bar, base)
+    def word(self, word: str, bar: int, base: int) -> array:
+        """Ids of one word. A candidate merge is skipped if its hash under ``base`` falls below ``bar``."""
+        return self._ids(word, self._long(word, bar, base) if len(word) > SHORT else self._short(word, bar, base))
+
+    def _ids(self, word: str, ends: list[int]) -> array:
         out, i, ids = array("i"), 0, self.ids
         for end in ends:
             known = ids.get(word[i:end])
@@ -99,6 +102,10 @@ class Codec:
 
     def _short(self, word: str, bar: int, base: int) -> list[int]:
         """Ends of the pieces; the agenda is a list of ranks, its head found by scanning."""
+        return self._scan(word, lambda span: bar and _skipped(base, span >> 32, span & 0xFFFFFFFF, bar), [])
+
+    def _scan(self, word: str, skips, taken: list[int]) -> list[int]:
+        """The same for any rule of skipping; the spans (start << 32 | end) of the merges made go to ``taken``."""
         merges, id_of_rank = self.merges, self.id_of_rank
         symbols = [self.ids.get(c, UNKNOWN) for c in word]
         ends = list(range(1, len(word) + 1))
@@ -108,9 +115,11 @@ class Codec:
             if rank == NEVER:
                 break
             i = agenda.index(rank)
-            if bar and _skipped(base, ends[i - 1] if i else 0, ends[i + 1], bar):
+            span = (ends[i - 1] if i else 0) << 32 | ends[i + 1]
+            if skips(span):
                 agenda[i] = NEVER
                 continue
+            taken.append(span)
             symbols[i : i + 2] = [id_of_rank[rank]]
             del ends[i], agenda[i]
             if i:
@@ -154,12 +163,15 @@ class Codec:
 
 
 class Encoder:
-    """Encodes texts under one seed and rate; keeps the segmentations of words met again."""
+    """Encodes texts under one seed and rate; keeps the agendas of words met again.
 
-    def __init__(self, codec: Codec, rate: float, seed: int, variants: int):
-        self.codec, self.rate, self.seed = codec, rate, seed
-        self.keys = [xxhash.xxh3_64_intdigest(f"{seed}/{v}".encode()) for v in range(variants if rate else 1)]
-        self.kept = [_Kept(self, key, KEEP // (1 if key == self.keys[0] else 10)) for key in self.keys]
+    ``variants`` has no effect: there is no fixed number of segmentations.
+    """
+
+    def __init__(self, codec: Codec, rate: float, seed: int, variants: int | None = None):
+        self.codec, self.bar = codec, int(rate * (1 << 32))
+        self.salt = xxhash.xxh3_64_intdigest(f"{seed}".encode())
+        self.kept = _Agendas(codec) if self.bar else _Kept(codec)
         self.mark = array("i", [codec.bytes_id[b] for b in SPACE.encode()]).tobytes()
 
     def encode(self, text: str | None, row_key: int) -> np.ndarray:
@@ -168,37 +180,131 @@ class Encoder:
             return np.empty(0, np.int32)
         # A space mark of the text's own goes out as bytes, between what stands before and after it.
         first, *rest = text.split(SPACE)
-        ids = self._words(WORD.findall(SPACE + first.replace(" ", SPACE)), row_key)
+        words = WORD.findall(SPACE + first.replace(" ", SPACE))
+        ids = self._words(words, row_key, 0)
         if rest:
-            ids = self.mark.join([ids, *(self._words(WORD.findall(part.replace(" ", SPACE)), row_key + i) for i, part in enumerate(rest, 1))])
+            at, parts = len(words), [ids]
+            for part in rest:
+                words = WORD.findall(part.replace(" ", SPACE))
+                parts.append(self._words(words, row_key, at))
+                at += len(words)
+            ids = self.mark.join(parts)
         return np.frombuffer(ids, np.int32)
 
-    def _words(self, words: list[str], row_key: int) -> bytes:
-        if len(self.kept) == 1:
-            return b"".join(map(self.kept[0].__getitem__, words))
-        with np.errstate(over="ignore"):
-            x = (np.arange(len(words), dtype=np.uint64) + np.uint64(row_key & _M)) * np.uint64(0x9E3779B97F4A7C15)
-            x = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(33)
-        kept = self.kept
-        return b"".join([kept[v if len(w) <= VARIED else 0][w] for v, w in zip((x % np.uint64(len(kept))).tolist(), words, strict=True)])
+    def _words(self, words: list[str], row_key: int, at: int) -> bytes:
+        """Ids of ``words``, which are the text's from position ``at``."""
+        if not self.bar:
+            return b"".join(map(self.kept.__getitem__, words))
+        if len(words) > AT_ONCE:
+            return b"".join(self._words(words[i : i + AT_ONCE], row_key, at + i) for i in range(0, len(words), AT_ONCE))
+        return b"".join(self._drawn(words, _bases(len(words), (row_key ^ self.salt) & _M, at)))
+
+    def _drawn(self, words: list[str], bases: np.ndarray) -> list[bytes]:
+        nodes = [self.kept[w] for w in words]
+        out = [x.ids for x in nodes]
+        for i in [i for i, x in enumerate(out) if x is None]:
+            out[i] = self.codec.word(words[i], self.bar, int(bases[i])).tobytes()
+        live, roots = np.arange(len(words)), nodes
+        while True:
+            spans = np.frombuffer(b"".join([x.spans for x in nodes]), np.uint64)
+            to = np.cumsum([x.n for x in nodes], dtype=np.int64)
+            hit = np.flatnonzero(_below(np.repeat(bases[live], np.diff(to, prepend=0)), spans, self.bar))
+            if not hit.size:
+                return out
+            # The first skip of each word that has one leads to the agenda that goes on without it.
+            owner = np.searchsorted(to, hit, side="right")
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            owner = owner[first]
+            nth = hit[first] - to[owner] + np.array([nodes[i].n for i in owner.tolist()])
+            live = live[owner]
+            nodes = [self.kept.after(nodes[i], j, roots[k]) for i, j, k in zip(owner.tolist(), nth.tolist(), live.tolist(), strict=True)]
+            for k, x in zip(live.tolist(), nodes, strict=True):
+                out[k] = x.ids
+
+
+def _bases(n: int, key: int, at: int) -> np.ndarray:
+    """One 64-bit key for each of ``n`` positions from ``at``."""
+    with np.errstate(over="ignore"):
+        x = np.arange(at + 1, at + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _below(bases: np.ndarray, spans: np.ndarray, bar: int) -> np.ndarray:
+    """:func:`_skipped` for many at once."""
+    with np.errstate(over="ignore"):
+        h = (bases ^ spans) * np.uint64(0x9E3779B97F4A7C15)
+        return (((h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(24)) & np.uint64(0xFFFFFFFF) < np.uint64(bar)
+
+
+class _Agenda:
+    """How a word's agenda goes with ``skipped`` left out: ids if no more is skipped, the ``n`` spans still to draw for."""
+
+    __slots__ = ("ids", "n", "next", "passed", "size", "skipped", "spans", "word")
+
+    def __init__(self, codec: Codec, word: str, skipped: frozenset, passed: int):
+        taken: list[int] = []
+        self.ids = codec._ids(word, codec._scan(word, skipped.__contains__, taken)).tobytes()
+        self.spans, self.n = array("Q", taken[passed:]).tobytes(), len(taken) - passed
+        self.word, self.skipped, self.passed, self.next, self.size = word, skipped, passed, None, 1
+
+
+class _Unkept:
+    """Stands for words too long to keep."""
+
+    ids, spans, n = None, b"", 0
+
+
+class _Agendas(dict):
+    """Word to agenda, in two generations: what the older one still serves moves to the younger."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec, self.old, self.count = codec, {}, 0
+
+    def __missing__(self, word: str):
+        if len(word) > KEEP_LENGTH:
+            return _Unkept
+        found = self.old.get(word)
+        if found is None:
+            found = _Agenda(self.codec, word, frozenset(), 0)
+        elif found.size > KEEP // 10:
+            found.next, found.size = None, 1
+        if self.count >= KEEP:
+            self.old = dict(self)
+            self.clear()
+            self.count = 0
+        self.count += found.size
+        self[word] = found
+        return found
 
-    def fresh(self, word: str, key: int) -> bytes:
-        return self.codec.word(word, self.rate, key).tobytes()
+    def after(self, node: _Agenda, nth: int, root: _Agenda) -> _Agenda:
+        """The agenda that goes on from ``node`` when its ``nth`` span is skipped."""
+        if node.next is None:
+            node.next = {}
+        found = node.next.get(nth)
+        if found is None:
+            span = int.from_bytes(node.spans[8 * nth : 8 * nth + 8], sys.byteorder)
+            found = node.next[nth] = _Agenda(self.codec, node.word, node.skipped | {span}, node.passed + nth)
+            root.size += 1
+            self.count += 1
+        return found
 
 
 class _Kept(dict):
-    """Word to ids as bytes, in two generations: what the older one still serves moves to the younger."""
+    """Word to ids as bytes without dropout, in two generations."""
 
-    def __init__(self, owner: Encoder, key: int, most: int):
+    def __init__(self, codec: Codec):
         super().__init__()
-        self.owner, self.key, self.most, self.old = owner, key, most, {}
+        self.codec, self.old = codec, {}
 
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
-            found = self.owner.fresh(word, self.key)
+            found = self.codec.word(word, 0, 0).tobytes()
         if len(word) <= KEEP_LENGTH:
-            if len(self) >= self.most:
+            if len(self) >= KEEP:
                 self.old = dict(self)
                 self.clear()
             self[word] = found
@@ -219,18 +325,18 @@ def row_key(seed: int, doc_id: int | None) -> int:
 _encoders: dict = {}
 
 
-def _encoder(model: bytes, rate: float, seed: int, variants: int) -> Encoder:
+def _encoder(model: bytes, rate: float, seed: int) -> Encoder:
     """One encoder for a worker's life: tasks go on with the words kept so far."""
-    key = (zlib.crc32(model), rate, seed, variants)
+    key = (zlib.crc32(model), rate, seed)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(load(model), rate, seed, variants)
+        _encoders[key] = Encoder(load(model), rate, seed)
     return _encoders[key]
 
 
-def _encode(model: bytes, rate: float, seed: int, variants: int):
+def _encode(model: bytes, rate: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model, rate, seed, variants)
+        encoder = _encoder(model, rate, seed)
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
@@ -250,9 +356,9 @@ def _decode(model: bytes):
     return run
 
 
-def _check(model: bytes, rate: float, seed: int, variants: int):
+def _check(model: bytes, rate: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model, rate, seed, variants)
+        encoder = _encoder(model, rate, seed)
         decode = encoder.codec.decode
         for batch in batches:
             n, crc, same = [], [], []
@@ -276,14 +382,14 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def encode(docs: DataFrame, rate: float = 0.1, seed: int = 0, variants: int = 4, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, rate: float = 0.1, seed: int = 0, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the whole text's piece ids; an empty list for null and empty texts.
 
     ``rate`` 0 gives the model's own best merges. Repeated rows are encoded
     alike, null ids like an id of their own; other columns are not read; an
     empty table gives no rows. The model (of fixed size) travels with the plan.
     """
-    return _texts(docs, id_col, text_col).mapInArrow(_encode(_model(model_path), rate, seed, variants), "doc_id long, ids array<int>")
+    return _texts(docs, id_col, text_col).mapInArrow(_encode(_model(model_path), rate, seed), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -291,6 +397,6 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decode(_model(model_path)), "doc_id long, text string")
 
 
-def encode_and_check(docs: DataFrame, rate: float = 0.1, seed: int = 0, variants: int = 4, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_and_check(docs: DataFrame, rate: float = 0.1, seed: int = 0, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), lossless (they decode to the very text; null as empty)."""
-    return _texts(docs, id_col, text_col).mapInArrow(_check(_model(model_path), rate, seed, variants), "doc_id long, n_tokens long, ids_crc32 long, lossless boolean")
+    return _texts(docs, id_col, text_col).mapInArrow(_check(_model(model_path), rate, seed), "doc_id long, n_tokens long, ids_crc32 long, lossless boolean")
