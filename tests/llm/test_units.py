@@ -189,3 +189,10 @@ def test_warc_round_trip():
     assert warc.parse(out[1]["record"])[0][1].decode() == "Text\nl"
     assert b"outlink: /x" in out[0]["record"] and b"title: A & B" in out[0]["record"]
     assert warc.derive(b"") == [] and len(warc.derive(warc.serialise([("WARC-Type", "response")], b""))) == 2
+
+
+def test_text_of_a_page_whose_head_has_no_end_tag():
+    assert warc.plain_text("<html><head><title>T</title><body><p>Hello world.</p></body></html>") == "Hello world."
+    assert warc.plain_text("<html><head lang=en><meta charset=utf-8><!-- c --><style>p{}</style><title>T<b></title><link href=x>\n<p>Hello.<p>World.") == "Hello.\nWorld."
+    assert warc.plain_text("<head><title>T</title><script>x</script></head>\n<body>a<header>b</header></body>") == "a\nb"
+    assert warc.plain_text("<head><title>T</title>Hello, no body tag.") == "Hello, no body tag."

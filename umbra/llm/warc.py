@@ -18,7 +18,10 @@ VERSION = "WARC/1.1"
 CARRIED = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Identified-Payload-Type", "WARC-Truncated")
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the fixed namespace for URLs of RFC 4122
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HEAD = re.compile(r"<head(?=[\s/>])[^>]*>", re.I)
+#: What stands in a head (a title with its text); anything else ends it, whether or not its end tag is there.
+_IN_HEAD = re.compile(r"\s+|<title\b[^>]*>.*?(?:</title\s*>|\Z)|</?(?:base|basefont|bgsound|link|meta|title|script|style|noscript|template)\b[^>]*>|<![^>]*>", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|h[1-6]|li|ul|ol|tr|td|th|table|section|article|header|footer|nav|aside|main|blockquote|pre|form|br|hr|dl|dt|dd|title|body|html)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[!?/a-zA-Z][^>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
@@ -68,9 +71,20 @@ def parse(data: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
     return found
 
 
+def _without_head(page: str) -> str:
+    """``page`` (scripts and comments gone) without its head, which ends at </head>, <body or whatever can't stand in it."""
+    head = _HEAD.search(page)
+    if not head:
+        return page
+    at = head.end()
+    while m := _IN_HEAD.match(page, at):
+        at = m.end()
+    return f"{page[: head.start()]} {page[at:]}"
+
+
 def plain_text(page: str) -> str:
     """Visible text of a whole page, a line per block, blanks folded."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
+    text = _TAG.sub("", _BREAK.sub("\n", _without_head(_HIDDEN.sub(" ", page))))
     lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 
