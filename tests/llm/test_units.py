@@ -14,7 +14,7 @@ from umbra.llm import warc
 from umbra.llm.exact_dedup import CuckooIndex
 from umbra.llm.html_extract import content
 from umbra.llm.near_dedup import _Words, banding, shingle_hashes, sketch
-from umbra.llm.packing import best_fit, default_cost
+from umbra.llm.packing import CAPACITIES, best_fit, default_cost
 
 
 @given(st.lists(st.tuples(st.booleans(), st.integers(0, 40)), max_size=200))
@@ -74,6 +74,26 @@ def test_packing_is_as_good_as_brute_force(lengths):
     assert total == pytest.approx(min(brute_best_fit(lengths, sizes, m, default_cost)[0] for m in sizes))
 
 
+def test_packing_opens_larger_bins_where_they_cost_less():
+    assert best_fit([1500, 1500, 1000], CAPACITIES, default_cost) == ([0, 0, 0], [4096], default_cost(4096))
+    # Both kinds side by side: full small bins stay small.
+    of, opened, total = best_fit([2047, 2047, 1500, 1500, 1000], CAPACITIES, default_cost)
+    assert sorted(opened) == [2048, 2048, 4096] and total == 2 * default_cost(2048) + default_cost(4096)
+    assert of[2] == of[3] == of[4] and len(set(of)) == 3
+
+
+@given(st.lists(st.integers(1, 16384), max_size=60))
+@settings(max_examples=60, deadline=None)
+def test_packing_with_production_capacities(lengths):
+    lengths = sorted(lengths, reverse=True)
+    of, opened, total = best_fit(lengths, CAPACITIES, default_cost)
+    used = [0] * len(opened)
+    for n, b in zip(lengths, of, strict=True):
+        used[b] += n
+    assert all(0 < u <= c and c == min(s for s in CAPACITIES if s >= u) for u, c in zip(used, opened, strict=True))
+    assert total == pytest.approx(sum(map(default_cost, opened))) and total <= brute_best_fit(lengths, CAPACITIES, 2048, default_cost)[0] + 1e-6
+
+
 MODEL = open(md.MODEL, "rb").read()
 TEXTS = ["", " ", "Hello  world", " lead and trail ", "日本語 🎉\n\ttab", "a▁b ▁", "x" * 200, "\x00nul", "naïve café, 12345!"]
 

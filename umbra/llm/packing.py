@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -25,27 +26,57 @@ def best_fit(lengths: Sequence[int], capacities: Sequence[int], cost: Callable[[
     """Pack ``lengths`` (none over the largest capacity) in the given order.
 
     Each item goes to the open bin that it leaves the least room in; if none
-    has room, a bin opens of the permitted size with the least cost per token
-    among those that hold the item. At the end each bin shrinks to the least
-    costly size that holds its contents. This is done for every choice of the
-    largest size allowed to open (larger items still open what they need); the
-    choice with the least total cost wins, the smaller size on ties.
+    has room, a bin opens. This is done for every choice of the largest size
+    allowed to open (larger items still open what they need), both with bins of
+    that very size and with the size of the least cost per token up to it. At the
+    end each bin shrinks to the least costly size that holds its contents, or is
+    divided where the same passes find smaller bins that cost less in all. The
+    choice with the least total cost wins, the first on ties.
 
     Returns the bin of each item (numbered as opened), the size of each bin and
     the total cost.
     """
     sizes = sorted(set(capacities))
-    best: tuple[float, list[int], list[int]] | None = None
+    # The size that opens for items whose smallest fitting size is the one at the same place.
+    passes = []
     for most in sizes:
-        bins, opened, total = _packed(lengths, sizes, most, cost)
+        passes.append(tuple(min([x for x in sizes if s <= x <= most] or [s], key=lambda x: (cost(x) / x, x)) for s in sizes))
+        passes.append(tuple(max(s, most) for s in sizes))
+    passes = list(dict.fromkeys(passes))
+    best: tuple[float, list[int], list[int]] | None = None
+    for opens in passes:
+        bins, opened = _divided(lengths, *_packed(lengths, sizes, opens, cost), sizes, passes, cost)
+        total = math.fsum(map(cost, opened))
         if best is None or total < best[0]:
             best = total, bins, opened
-        if most >= sizes[-1]:
-            break
     return best[1], best[2], best[0]
 
 
-def _packed(lengths, sizes, most, cost):
+def _divided(lengths, of, opened, sizes, passes, cost):
+    """The bins, those divided whose items cost less in smaller bins."""
+    items: dict[int, list[int]] = {}
+    for i, b in enumerate(of):
+        items.setdefault(b, []).append(i)
+    least = min(cost(s) / s for s in sizes)
+    for b, own in items.items():
+        mine, price, found = [lengths[i] for i in own], cost(opened[b]), None
+        if len(own) == 1 or least * sum(mine) >= price:
+            continue
+        for opens in passes:
+            if opens[0] < opened[b]:
+                parts, smaller = _packed(mine, sizes, opens, cost)
+                if (total := math.fsum(map(cost, smaller))) < price:
+                    price, found = total, (parts, smaller)
+        if found:
+            parts, smaller = found
+            for i, part in zip(own, parts, strict=True):
+                of[i] = b if part == 0 else len(opened) + part - 1
+            opened[b] = smaller[0]
+            opened += smaller[1:]
+    return of, opened
+
+
+def _packed(lengths, sizes, opens, cost):
     of, used, room_of, free = [], [], [], {}
     mask = 0  # bit r: some open bin has r tokens of room
     for n in lengths:
@@ -57,8 +88,7 @@ def _packed(lengths, sizes, most, cost):
             if not mine:
                 mask ^= 1 << room
         else:
-            fitting = [s for s in sizes if s >= n]
-            room = min([s for s in fitting if s <= most] or fitting[:1], key=lambda s: (cost(s) / s, s))
+            room = opens[bisect_left(sizes, n)]
             b = len(used)
             used.append(0)
             room_of.append(room)
@@ -69,7 +99,7 @@ def _packed(lengths, sizes, most, cost):
             free.setdefault(left, []).append(b)
             mask |= 1 << left
     shrunk = [min((s for s in sizes if s >= u), key=lambda s: (cost(s), s)) for u in used]
-    return of, shrunk, math.fsum(cost(s) for s in shrunk)
+    return of, shrunk
 
 
 _PACKED = "doc_id long, start long, length long, block long, part int, bin int, capacity int, at int"
