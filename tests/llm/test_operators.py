@@ -229,6 +229,17 @@ def test_quality_rules(spark, corpus):
     assert good.columns == table(spark, rows).columns and good.where("doc_id >= 200 and doc_id < 260").count() == 61
 
 
+def test_quality_stage_removes_frequent_lines(spark):
+    body = lambda i: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(60))
+    rows = [(i, f"Home  About 2024\n\n{body(i)}\nhome about {i}", "site") for i in range(60)]
+    rows += [(100, f"home about 1\n{body(70)}", "other"), (101, body(71), "site"), (102, None, "site")]
+    got = {r.doc_id: r for r in keep_good_documents(table(spark, rows)).collect()}
+    assert set(got) == set(range(60)) | {100, 101}
+    for i in range(60):
+        assert (got[i].text, got[i].n_chars) == (f"\n{body(i)}", len(body(i)) + 1)
+    assert got[100].text == f"home about 1\n{body(70)}" and got[101].text == body(71) and got[101].n_chars == len(body(71))
+
+
 def test_pages_and_warc(spark):
     rows = [(1, "http://a/", "<article><p>One, two.</p><p>x</p></article><footer>f</footer>"), (2, None, None), (1, "http://a/", "")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")

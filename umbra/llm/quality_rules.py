@@ -73,7 +73,7 @@ def judge_documents(
     are judged each; other columns are not read; an empty table gives no rows.
     Texts of any length are taken whole.
     """
-    return _judged(materialise(_stats(docs, id_col, text_col, host_col), "lines"), min_docs, share, depleted).drop("uid")
+    return _judged(materialise(_stats(docs, id_col, text_col, host_col), "lines"), min_docs, share, depleted).drop("uid", "gone")
 
 
 def _judged(held: DataFrame, min_docs: int, share: float, depleted: float) -> DataFrame:
@@ -81,19 +81,29 @@ def _judged(held: DataFrame, min_docs: int, share: float, depleted: float) -> Da
     counted = lines.select("host", "h", "content").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
     hosts = held.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     frequent = counted.join(hosts, "host").where(F.col("n_docs") > F.col("of") * share).select("host", "h")
-    removed = lines.join(frequent, ["host", "h"], "left_semi").groupBy("uid").agg(F.sum("w").alias("removed"))
+    removed = lines.join(frequent, ["host", "h"], "left_semi").groupBy("uid").agg(F.sum("w").alias("removed"), F.collect_set("h").alias("gone"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = held.drop("lines", "content", "host").join(removed, "uid", "left")
     gone = F.coalesce("removed", F.lit(0)).cast("long")
     return out.select(
-        "uid", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (gone <= F.col("n_words") * depleted)).alias("kept"), gone.alias("n_line_words_removed")
+        "uid", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (gone <= F.col("n_words") * depleted)).alias("kept"), gone.alias("n_line_words_removed"), "gone"
     )
 
 
 def keep_good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = LINE_MIN_DOCS, share: float = LINE_SHARE, depleted: float = DEPLETED_SHARE) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge_documents` keeps, columns and texts unchanged."""
+    """The rows of ``docs`` that :func:`judge_documents` keeps, without the lines it removes.
+
+    Columns are the same; texts without such lines and null texts are unchanged,
+    other lines (blank ones too) stay as they are, and a column ``n_chars`` is
+    brought up to date where a text changes.
+    """
     held = with_row_id(docs, id_col)
     stats = materialise(_stats(held.withColumn("__doc", F.col("__uid")), "__doc", text_col, host_col), "lines")
     judged = _judged(stats, min_docs, share, depleted)
-    bad = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__uid"))
-    return held.join(bad, "__uid", "left_anti").select(*docs.columns)
+    touched = judged.where(~F.col("kept") | F.col("gone").isNotNull()).select(F.col("doc_id").alias("__uid"), F.col("kept").alias("__kept"), F.col("gone").alias("__gone"))
+    left = held.join(touched, "__uid", "left").where("coalesce(__kept, true)")
+    rest = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains("__gone", F.xxhash64(normal_line(x))))
+    left = left.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n")))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
+    return left.select(*docs.columns)
