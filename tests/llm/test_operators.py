@@ -198,6 +198,15 @@ def test_url_rules_and_aliases(spark):
     assert {r.page_id: r.verdict for r in filter_urls(df, redirects=logged).collect()}[10] == "block"
 
 
+def test_url_aliases_tell_queries_apart(spark):
+    link = '<link rel="canonical" href="{}">'
+    rows = [(1, "http://f.net/view?id=1", link.format("http://b.com/de/1?x=y")), (2, "http://F.net/view?id=2#top", ""), (3, "http://f.net/view", ""), (4, "http://g.net/?a", link.format("/view?id=1")), (5, "http://g.net/view?id=1", link.format("//f.net/view?id=1")), (6, "http://f.net/view?id=6", link.format("?id=1"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in filter_urls(df).collect()} == {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "block"}
+    logged = spark.createDataFrame([("http://f.net/view?id=2", "http://b.com/de/9#z")], "u string, v string")
+    assert {r.page_id: r.verdict for r in filter_urls(df, redirects=logged).collect()} == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "block"}
+
+
 def brute_stats(t):
     w = [x for x in (t or "").replace("\x1c", "\x1c").encode().split()]
     w = [x.decode() for x in w]

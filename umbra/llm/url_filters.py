@@ -32,6 +32,14 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return lower_az(F.regexp_extract(rest, "^([^/?#]*)", 1)), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
+def url_key(url: Column) -> Column:
+    """The URL as a node of aliases: host (A-Z lower-cased), path and query; scheme and fragment dropped."""
+    url = F.coalesce(url, F.lit(""))
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
+    return F.concat(url_parts(url)[0], F.regexp_extract(rest, "^[^/?#]*([^#]*)", 1))
+
+
 def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]], field: Column | None = None) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, null if none does. Rules are literals of the plan."""
     name, says = None, None
@@ -50,21 +58,21 @@ def _resolved(host: Column, path: Column, link: Column) -> Column:
         F.when(link == "", None)
         .when(link.contains("://"), link)
         .when(link.startswith("//"), F.concat(F.lit("x:"), link))
+        .when(link.startswith("?"), F.concat(F.lit("x://"), host, path, link))
         .when(link.startswith("/"), F.concat(F.lit("x://"), host, link))
         .otherwise(F.concat(F.lit("x://"), host, F.when(folder == "", "/").otherwise(folder), link))
     )
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(u, v): pages' keys and the keys their redirects and canonical links name. A key is host and path."""
+    """(u, v): pages' keys and the keys their redirects and canonical links name. A key is host, path and query (see :func:`url_key`)."""
     host, path = url_parts(F.col(url_col))
     html = F.col(html_col)
     canonical = F.when(F.lower(html).contains("canonical"), F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1))
     refresh = F.when(F.lower(html).contains("refresh"), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), REFRESH_URL, 1))
-    found = pages.select(host.alias("h"), path.alias("p"), F.explode(F.array(canonical, refresh)).alias("link")).where("link <> '' AND h <> ''")
-    to_host, to_path = url_parts(F.col("to"))
-    to = found.select(F.concat("h", "p").alias("u"), _resolved(F.col("h"), F.col("p"), F.col("link")).alias("to"))
-    return to.select("u", to_host.alias("h"), to_path.alias("p")).where("h <> ''").select("u", F.concat("h", "p").alias("v")).distinct()
+    found = pages.select(url_key(F.col(url_col)).alias("u"), host.alias("h"), path.alias("p"), F.explode(F.array(canonical, refresh)).alias("link")).where("link <> '' AND h <> ''")
+    to = found.select("u", _resolved(F.col("h"), F.col("p"), F.col("link")).alias("to"))
+    return to.where(url_parts(F.col("to"))[0] != "").select("u", url_key(F.col("to")).alias("v")).distinct()
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -74,7 +82,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     a block rule holds for any URL of its alias component (pages joined by
     redirects and canonical links, and the targets they name, page or not);
     otherwise it is allowed. An explicit allow rule always wins for its own URL,
-    whatever its aliases; it does not free aliases that no rule names.
+    whatever its aliases; it does not free aliases that no rule names. Rules see
+    host and path; aliases are whole URLs, so pages of one path with different
+    queries are different ones.
 
     ``redirects``: more edges as URLs (u, v), as from a crawl log. Pages with
     null or malformed URLs have no host, no aliases and verdict allow. Repeated
@@ -82,14 +92,13 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     """
     edges = alias_edges(pages, url_col, html_col)
     if redirects is not None:
-        (uh, up), (vh, vp) = url_parts(F.col("u")), url_parts(F.col("v"))
-        edges = edges.unionByName(redirects.select(F.concat(uh, up).alias("u"), F.concat(vh, vp).alias("v")).where("u <> '' AND v <> ''"))
+        edges = edges.unionByName(redirects.select(url_key(F.col("u")).alias("u"), url_key(F.col("v")).alias("v")).where("u <> '' AND v <> ''"))
     edges = materialise(edges, "aliases")
     blocked = _blocked(edges, rules)
     host, path = url_parts(F.col(url_col))
-    judged = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    judged = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), url_key(F.col(url_col)).alias("key"))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
-    judged = judged.withColumns({"rule": rule, "says": verdict, "key": F.concat("host", "path")})
+    judged = judged.withColumns({"rule": rule, "says": verdict})
     if blocked is None:
         return judged.select("page_id", "host", "path", "rule", F.coalesce("says", F.lit("allow")).alias("verdict"))
     return judged.join(blocked, "key", "left").select("page_id", "host", "path", "rule", F.coalesce("says", F.when(F.col("hit"), "block"), F.lit("allow")).alias("verdict"))
@@ -101,6 +110,6 @@ def _blocked(edges: DataFrame, rules) -> DataFrame | None:
         return None
     member = connected_components(edges)
     member = member.unionAll(member.select("component", "component")).distinct()
-    _, says = best_rule(F.regexp_extract("node", "^([^/]*)", 1), F.regexp_extract("node", "^[^/]*(.*)$", 1), rules)
+    _, says = best_rule(F.regexp_extract("node", "^([^/?]*)", 1), F.regexp_extract("node", "^[^/?]*([^?]*)", 1), rules)
     bad = member.where(says == "block").select("component").distinct()
     return member.join(bad, "component", "left_semi").select(F.col("node").alias("key"), F.lit(True).alias("hit"))
