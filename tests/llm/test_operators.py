@@ -249,6 +249,12 @@ def test_quality_stage_removes_frequent_lines(spark):
     assert got[100].text == f"home about 1\n{body(70)}" and got[101].text == body(71) and got[101].n_chars == len(body(71))
 
 
+def test_quality_stage_catches_lines_of_a_large_host(spark):
+    body = lambda i: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(60))
+    rows = [(i, body(i) + "\nall rights reserved" * (i < 25), "hot") for i in range(400)]
+    assert {r.text for r in keep_good_documents(table(spark, rows)).collect()} == {body(i) for i in range(400)}
+
+
 def test_pages_and_warc(spark):
     rows = [(1, "http://a/", "<article><p>One, two.</p><p>x</p></article><footer>f</footer>"), (2, None, None), (1, "http://a/", "")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")

@@ -90,8 +90,11 @@ def _judged(held: DataFrame, min_docs: int, share: float, depleted: float) -> Da
     )
 
 
-def keep_good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = LINE_MIN_DOCS, share: float = LINE_SHARE, depleted: float = DEPLETED_SHARE) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge_documents` keeps, without the lines it removes.
+def keep_good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = LINE_MIN_DOCS, share: float = 0.0, depleted: float = DEPLETED_SHARE) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge_documents` keeps under these limits, without the lines it removes.
+
+    By default only ``min_docs`` limits a line, so that one in as many documents
+    is caught on every host, however large; the query's share is as its SQL has it.
 
     Columns are the same; texts without such lines and null texts are unchanged,
     other lines (blank ones too) stay as they are, and a column ``n_chars`` is
