@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from umbra.llm import merge_dropout, token_counts
+from umbra.llm.common import shared_dir
 from umbra.llm.components import connected_components
 from umbra.llm.exact_dedup import build_index, digests, drop_exact_copies, exact_dedup, update_index
 from umbra.llm.html_extract import extract_pages
@@ -90,8 +91,18 @@ def test_index_inserts_and_deletes(spark):
     state = lambda df: sorted((r.n, r.keep_id) for r in df.collect())
     assert state(index) == [(1, 3), (2, 2)]
     more = digests(table(spark, [(4, "c", "s"), (5, "A", "s")]))
-    after = update_index(index, inserts=more, deletes=digests(table(spark, [(3, "b", "s"), (9, "never", "s")])))
+    after, content = update_index(index, rows, inserts=more, deletes=digests(table(spark, [(3, "b", "s"), (9, "never", "s")])))
     assert state(after) == [(1, 4), (3, 5)]
+    # The row that stays goes: the next largest id names the group.
+    after, content = update_index(after, content, deletes=digests(table(spark, [(5, "A", "s")])))
+    assert state(after) == [(1, 4), (2, 2)]
+    after, content = update_index(after, content, deletes=digests(table(spark, [(1, "a", "s"), (2, "a", "s"), (2, "a", "s")])))
+    assert state(after) == [(1, 4)] and content.count() == 1
+    after, content = update_index(after, content, deletes=digests(table(spark, [(None, "c", "s"), (4, "d", "s")])))
+    assert state(after) == [(1, 4)]
+    after, content = update_index(after, content, inserts=digests(table(spark, [])), deletes=digests(table(spark, [(4, "C", "s")])))
+    assert state(after) == [] and content.count() == 0
+    assert state(update_index(after, content, inserts=rows)[0]) == [(1, 3), (2, 2)]
 
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
@@ -102,6 +113,65 @@ def test_near_dedup_against_brute_force(spark, corpus, k, percent):
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_near_dedup_of_a_large_family_just_below_the_limit(spark):
+    """2,000 variants of one text, most pairs at 70 to 90 %: every link counts, and few pairs are compared at the end."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(2000):
+        words = list(base)
+        for j in range(rng.randint(0, 6)):
+            words[rng.randrange(150)] = f"x{i}y{j}"
+        rows.append((i, " ".join(words), "s"))
+    df = table(spark, rows).repartition(8)
+    sets = [frozenset(hash(tuple(t.split()[j : j + 3])) for j in range(148)) for _, t, _ in rows]
+    up = list(range(2000))
+
+    def top(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a in range(2000):
+        for b in range(a):
+            x, y = top(a), top(b)
+            if x != y and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                up[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in near_dedup(df, k=3, percent=85).collect()}
+    assert got == {i: top(i) for i in range(2000)}
+
+
+def test_names_of_columns_may_clash(spark, corpus):
+    docs = table(spark, corpus).selectExpr("*", "'keepme' AS __uid", "'gone' AS __GONE", "'k' AS __kept", "'d' AS __doc", "'t' AS touched")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.select("__uid", "__GONE", "__kept", "__doc", "touched").collect()} == {("keepme", "gone", "k", "d", "t")}, name
+
+
+def test_ids_other_than_whole_numbers_are_refused(spark):
+    docs = spark.createDataFrame([("a", "text", "s")], "doc_id string, text string, source string")
+    for refuses in (near_dedup, exact_dedup, drop_near_copies, drop_exact_copies, judge_documents):
+        with pytest.raises(TypeError, match="whole numbers"):
+            refuses(docs)
+
+
+def test_shared_folder_is_never_this_machine_on_a_cluster(spark):
+    class Elsewhere:
+        class sparkContext:  # noqa: N801
+            master = "spark://head:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Elsewhere)
+    assert shared_dir(spark)
+
+
 def test_near_dedup_repeated_rows_and_empty(spark):
     text = " ".join(f"w{i}" for i in range(50))
     got = near_dedup(table(spark, [(1, text, "s"), (1, text, "s"), (None, text, "s"), (None, None, "s")])).collect()
@@ -249,6 +319,20 @@ def test_quality_stage_removes_frequent_lines(spark):
     assert got[100].text == f"home about 1\n{body(70)}" and got[101].text == body(71) and got[101].n_chars == len(body(71))
 
 
+def test_quality_rejects_documents_of_which_too_little_is_left(spark):
+    body = lambda i, n: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(n))
+    menu = "one menu line of this host with ten words in\n"
+    rows = [(i, menu + body(i, 60), "site") for i in range(25)] + [(100, menu + body(100, 45), "site"), (101, menu + body(101, 50), "site")]
+    rows += [(200 + i, body(150, 60) + "\nsame text many times", "other") for i in range(30)]
+    got = {r.doc_id: r for r in judge_documents(table(spark, rows)).collect()}
+    assert (got[100].base_failed, got[100].kept, got[100].n_words_left) == (False, False, 45) and got[101].kept and got[101].n_words_left == 50
+    line = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
+    assert got[0].lines_left_digest == line(body(0, 60)) and got[0].n_line_words_removed == 10
+    # Copies of a text are one document, or, if asked for, as many as there are.
+    assert all(got[200 + i].kept for i in range(30))
+    assert not any(r.kept for r in judge_documents(table(spark, rows), count_copies=True).collect() if r.doc_id >= 200)
+
+
 def test_quality_stage_catches_lines_of_a_large_host(spark):
     body = lambda i: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(60))
     rows = [(i, body(i) + "\nall rights reserved" * (i < 25), "hot") for i in range(400)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Word separators of the contracts: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
-DEFAULT_SHARED_DIR = "/tmp/checkpoints"
+#: Used where spark.checkpoint.dir is unset and Spark runs on one machine, as in tests.
+LOCAL_DIR = "/tmp/checkpoints"
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +28,11 @@ def lower_az(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a default of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or DEFAULT_SHARED_DIR).rstrip("/")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or LOCAL_DIR).rstrip("/")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -40,7 +45,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/umbra-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._umbra_path = path
+    return out
+
+
+def discard(*held: DataFrame) -> None:
+    """Delete the files of tables that :func:`materialise` wrote, once all that reads them has been written itself."""
+    for df in held:
+        if path := getattr(df, "_umbra_path", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def tasks_for(df: DataFrame, bytes_per_task: int = 64 << 20) -> int:
@@ -53,14 +69,34 @@ def tasks_for(df: DataFrame, bytes_per_task: int = 64 << 20) -> int:
     return max(least, min(200_000, math.ceil(size / bytes_per_task))) if size < 1 << 60 else least
 
 
-def with_row_id(docs: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` with a column __uid that names each row for good.
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores put on until no column of ``df`` is called so (whatever the case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def whole_ids(docs: DataFrame, id_col: str) -> Column:
+    """The ids as long. Ids of other types than whole numbers have no order or digest column here: an error, not a failing cast."""
+    kind = dict(docs.dtypes)[id_col]
+    if kind not in INTEGERS and kind != "void":
+        raise TypeError(f"{id_col} is {kind}; ids are whole numbers (number the rows first, as with_row_id does)")
+    return F.col(id_col).cast("long")
+
+
+def with_row_id(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a column that names each row for good, and that column's name (one that ``docs`` doesn't have).
 
     It is the id itself where ids are whole numbers, unique and not null; else the
     rows are numbered and written once.
     """
-    if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
+    (uid,) = fresh(docs, "__uid")
+    if dict(docs.dtypes)[id_col] in INTEGERS:
         n, different = docs.agg(F.count(F.lit(1)), F.count_distinct(F.col(id_col))).first()
         if n == different:
-            return docs.withColumn("__uid", F.col(id_col).cast("long"))
-    return materialise(docs.withColumn("__uid", F.monotonically_increasing_id()), "docs")
+            return docs.withColumn(uid, F.col(id_col).cast("long")), uid
+    return materialise(docs.withColumn(uid, F.monotonically_increasing_id()), "docs"), uid

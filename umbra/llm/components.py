@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import materialise
+from umbra.llm.common import discard, materialise
 
 #: Rounds needed grow with the square of the logarithm of the longest chain; this is never reached in practice.
 MAX_ROUNDS = 200
@@ -29,15 +29,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``edges`` has u and v of one orderable type; loops and nulls are ignored.
     A node with very many neighbours is folded by map-side minima, and the join
     that hands the minimum back is one that adaptive execution can split. Each
-    round is written to the shared folder, so a lost executor costs one round.
+    round is written to the shared folder, so a lost executor costs one round;
+    a round's files go when the next one is written.
     """
     edges = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, mark = _held(edges)
     for _ in range(MAX_ROUNDS):
         if not mark[0]:
             break
-        was = mark
+        was, before = mark, edges
         edges, mark = _held(_small_star(_large_star(edges)))
+        discard(before)
         if mark == was:
             break
     else:

@@ -14,18 +14,21 @@ is), and the shards merge those rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import lower_az, materialise, tasks_for, with_row_id
+from umbra.llm.common import lower_az, materialise, whole_ids, with_row_id
 
 SLOTS = 4
 MAX_KICKS = 200
 #: Live keys of a partition's own index before it hands them on and starts anew.
 FLUSH_AT = 200_000
+#: Rows for each shard of the index, at most as many keys: some 400 bytes of a worker's memory a key.
+ROWS_PER_SHARD = 250_000
 
 _ENTRY = "digest binary, n_bytes long, keep_id long, keep_uid long, n long"
 
@@ -148,6 +151,10 @@ def _pieces(index: CuckooIndex, step: int = 20_000) -> Iterator[pa.RecordBatch]:
         yield _batch(part)
 
 
+#: More than any group has.
+ALL = 1 << 60
+
+
 def _fold(flush_at: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CuckooIndex()
@@ -171,37 +178,58 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The digest is SHA-256 of the text in UTF-8 with A-Z lower-cased; null counts as empty.
     """
     text = lower_az(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), whole_ids(docs, id_col).alias("doc_id"), text.alias("t"))
     return materialise(rows.select("uid", "doc_id", F.unhex(F.sha2("t", 256)).alias("digest"), F.octet_length("t").cast("long").alias("n_bytes")), "digests")
 
 
+def _shards(*tables: DataFrame) -> int:
+    least = int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, math.ceil(sum(t.count() for t in tables) / ROWS_PER_SHARD))
+
+
+def _single(rows: DataFrame) -> DataFrame:
+    return rows.select("digest", "n_bytes", F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"), F.lit(1).cast("long").alias("n"))
+
+
 def build_index(rows: DataFrame) -> DataFrame:
-    """Index of all live digests: one row each with the row that stays and the group's size."""
-    own = rows.select("digest", "n_bytes", F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"), F.lit(1).cast("long").alias("n"))
-    folded = own.mapInArrow(_fold(FLUSH_AT), _ENTRY)
-    return folded.repartition(tasks_for(rows), "digest").mapInArrow(_fold(None), _ENTRY)
+    """Index of all live digests of ``rows`` (as of :func:`digests`): one row each with the row that stays and the group's size.
+
+    Repeated rows count each; an empty table gives an empty index.
+    """
+    return _single(rows).mapInArrow(_fold(FLUSH_AT), _ENTRY).repartition(_shards(rows), "digest").mapInArrow(_fold(None), _ENTRY)
 
 
-def update_index(index: DataFrame, inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> DataFrame:
-    """Apply inserted rows and deleted rows (both as of :func:`digests`) to a written index.
+def update_index(index: DataFrame, content: DataFrame, inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(index, content) after rows are inserted and then rows deleted.
 
-    Inserts count before deletes. A digest whose last member goes is deleted;
-    deleting what isn't live changes nothing. The row that stays isn't
-    recomputed when the kept row itself goes while copies remain: its id still
-    names the group.
+    ``content`` holds the live rows that ``index`` was built from, as of
+    :func:`digests`, as do ``inserts``; inserted rows get new uids. ``deletes``
+    (doc_id, digest, n_bytes) takes every live row of that id and text away,
+    repeated ones and null ids too. Deletion takes the digest out of the
+    filter; it goes in again, with the row that stays and the size counted
+    from the content, if copies are still alive. Deleting what isn't live
+    changes nothing; empty tables are fine on either side.
     """
-    cols = ["digest", "n_bytes", "keep_id", "keep_uid", "n"]
-    every = index.select(*cols, F.lit(0).alias("turn"))
-    for rows, sign, turn in ((inserts, 1, 1), (deletes, -1, 2)):
-        if rows is not None:
-            own = rows.select("digest", "n_bytes", F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"), F.lit(sign).cast("long").alias("n"))
-            if sign < 0:
-                own = own.groupBy("digest", "n_bytes").agg(F.max("keep_id").alias("keep_id"), F.max("keep_uid").alias("keep_uid"), F.sum("n").alias("n"))
-            else:
-                own = own.mapInArrow(_fold(FLUSH_AT), _ENTRY)
-            every = every.unionByName(own.withColumn("turn", F.lit(turn)))
-    dealt = every.repartition(tasks_for(index), "digest").sortWithinPartitions("turn", "digest")
-    return dealt.select(*cols).mapInArrow(_fold(None), _ENTRY)
+    live = content.select("uid", "doc_id", "digest", "n_bytes")
+    turns = [index.select("digest", "n_bytes", "keep_id", "keep_uid", "n", F.lit(0).alias("turn"))]
+    if inserts is not None:
+        above = (live.agg(F.max("uid")).first()[0] or 0) + 1
+        new = inserts.select((F.col("uid") + above).alias("uid"), "doc_id", "digest", "n_bytes")
+        turns.append(_single(new).mapInArrow(_fold(FLUSH_AT), _ENTRY).withColumn("turn", F.lit(1)))
+        live = live.unionByName(new)
+    if deletes is not None:
+        gone = deletes.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone"), F.col("n_bytes").alias("gone_bytes")).distinct()
+        live = live.join(gone, (live["digest"] == gone["gone"]) & (live["n_bytes"] == gone["gone_bytes"]) & live["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+        touched = gone.select(F.col("gone").alias("digest"), F.col("gone_bytes").alias("n_bytes")).distinct()
+        turns.append(touched.select("digest", "n_bytes", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("keep_uid"), F.lit(-ALL).cast("long").alias("n"), F.lit(2).alias("turn")))
+        left = live.join(touched, ["digest", "n_bytes"], "left_semi")
+        turns.append(_single(left).mapInArrow(_fold(FLUSH_AT), _ENTRY).withColumn("turn", F.lit(3)))
+    every = turns[0]
+    for turn in turns[1:]:
+        every = every.unionByName(turn)
+    # Turns keep their order for each digest.
+    dealt = every.repartition(_shards(index, *([inserts] if inserts is not None else [])), "digest").sortWithinPartitions("digest", "turn")
+    return dealt.drop("turn").mapInArrow(_fold(None), _ENTRY), live
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,7 +237,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of equal texts (A-Z lower-cased, null as empty) the row with the largest id
     stays; null ids come last; of repeated rows with that id just one stays.
-    An empty table gives no rows. Other columns of ``docs`` are not read.
+    An empty table gives no rows. Other columns of ``docs`` are not read; texts
+    of any length are digested whole.
 
     The join that hands the group's state back to its members is a sort-merge
     join on the digest, whose hot side adaptive execution splits.
@@ -226,9 +255,14 @@ def _decide(rows: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the copies, columns unchanged."""
-    held = with_row_id(docs, id_col)
+    """``docs`` without the copies that :func:`exact_dedup` drops, columns unchanged.
+
+    Null and empty texts are equal; null ids go before others; one of repeated
+    rows stays; any columns of other names and an empty table are fine. Texts of
+    any length are digested whole.
+    """
+    held, uid = with_row_id(docs, id_col)
     text = lower_az(F.coalesce(F.col(text_col), F.lit("")))
-    rows = held.select(F.col("__uid").alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
-    stay = build_index(rows).select(F.col("keep_uid").alias("__uid"))
-    return held.join(stay, "__uid", "left_semi").select(*docs.columns)
+    rows = held.select(F.col(uid).alias("uid"), whole_ids(docs, id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    stay = build_index(rows).select(F.col("keep_uid").alias(uid))
+    return held.join(stay, uid, "left_semi").select(*docs.columns)

@@ -13,15 +13,19 @@ for components, so
 1. equal sets become one representative;
 2. each representative is compared with one pivot, that of most of its buckets;
 3. in buckets that still hold several components, every member is compared with
-   the bucket's pivot, and then members outside the bucket's largest component
-   with one of that component drawn by hash;
-4. what is left in such buckets is compared with all of the other components'
-   members there, but for pairs that the sizes or the triangle inequality of the
-   Jaccard distance over the bucket's pivot rule out.
-
-A pair is compared only if its whole sketches allow the link: by their
-concentration, so many coordinates differ in a linked pair with a probability
-of at most ``MISS``. This spares documents that merely share a passage.
+   the bucket's pivot, and members outside the bucket's largest component with
+   one of that component drawn by hash;
+4. the members of buckets that are still open go into an index of their rarest
+   shingles: with the shingles of all sets in one order, rare ones first, two
+   sets of so large an intersection share one near the front of both, and what
+   stands before the first that they share bounds the intersection. Members of
+   different components that meet there under this bound are compared.
+
+In steps 2 and 3 a pair is compared only if its whole sketches allow the link:
+in a linked pair so many coordinates differ with a probability of at most
+``MISS``. This spares documents that merely share a passage. Step 4 is exact: a
+large family just below the threshold differs in rare shingles, so its members
+don't meet, though all of them share buckets.
 
 After step 4 no two documents of different components share a bucket without
 having been compared or ruled out. Banding misses a pair right at the
@@ -39,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import materialise, tasks_for, with_row_id
+from umbra.llm.common import discard, fresh, materialise, tasks_for, whole_ids, with_row_id
 from umbra.llm.components import connected_components
 
 MISS = 1e-7
@@ -126,9 +130,13 @@ def two_bits(s: np.ndarray) -> np.ndarray:
 
 
 def most_different(t: int, threshold: float) -> int:
-    """Coordinates whose two bits may differ: more, with a similarity at the threshold, has a probability below MISS."""
+    """Coordinates whose two bits may differ: more, with a similarity at the threshold, has a probability of at most MISS (binomial tail)."""
     differ = (1 - threshold) * 0.75
-    return math.floor(t * differ + 5.2 * math.sqrt(t * differ * (1 - differ)) + 1)
+    log_p = lambda i: math.lgamma(t + 1) - math.lgamma(i + 1) - math.lgamma(t - i + 1) + i * math.log(differ) + (t - i) * math.log1p(-differ)
+    tail, limit = 0.0, t
+    while limit > 0 and differ and tail + (more := math.exp(log_p(limit))) <= MISS:
+        tail, limit = tail + more, limit - 1
+    return limit
 
 
 def alike(a, b, words: int, limit: int) -> Column:
@@ -177,6 +185,20 @@ def _sketches(k: int, bands: int, rows: int):
     return run
 
 
+def _sets(k: int):
+    """(rep, n, label, text) to (rep, n, label, h): the hashes of the whole set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                sets = [shingle_hashes(text.as_py(), k, words).view(np.int64) for text in part.column(3)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "n", "label", "h"])
+
+    return run
+
+
 _VERIFIED = "pivot long, rep long, inter long, joined long, link boolean"
 
 
@@ -217,12 +239,16 @@ def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int, label: s
     owners = groups.select(F.col("pivot").alias("uid"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("rep"))
     both = owners.unionByName(members).join(texts, "uid")
     dealt = both.repartition(tasks_for(texts, 32 << 20), "pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("rep").asc_nulls_first())
-    return materialise(dealt.select("pivot", "rep", "text").mapInArrow(_verify(k, percent), _VERIFIED), f"{label}-links")
+    out = materialise(dealt.select("pivot", "rep", "text").mapInArrow(_verify(k, percent), _VERIFIED), f"{label}-links")
+    discard(pairs)
+    return out
 
 
 def _labels(reps: DataFrame, links: DataFrame) -> DataFrame:
     found = connected_components(links.select(F.col("pivot").alias("u"), F.col("rep").alias("v")))
-    return materialise(reps.join(found, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("component", "rep").alias("label")), "labels")
+    out = materialise(reps.join(found, F.col("rep") == F.col("node"), "left").select("rep", "n", F.coalesce("component", "rep").alias("label")), "labels")
+    discard(found)
+    return out
 
 
 def _components(sk: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -231,7 +257,7 @@ def _components(sk: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     member = materialise(sk.where("n > 0").select("uid", "set1", "set2").join(sets, ["set1", "set2"]).select("uid", "rep", "n"), "members")
     reps = member.where("uid = rep").select("rep", "n")
     # Bucket rows of representatives only; buckets of one are dropped at once.
-    rows = sk.select("uid", "n", "keys").join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("rep"), "n", F.posexplode("keys").alias("band", "key"))
+    rows = sk.select("uid", "keys").join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("rep"), F.explode("keys").alias("key"))
     pivots = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "pivot")
     buckets = materialise(rows.join(pivots, "key"), "buckets")
     sizes_fit = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
@@ -239,44 +265,48 @@ def _components(sk: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     bands, height = banding(percent / 100)
     words, limit = -(-bands * height // 32), most_different(bands * height, percent / 100)
     fits = lambda a, b: alike(a, b, words, limit)
-    bits = sk.where("n > 0").select(F.col("uid").alias("rep"), "bits")
-    pivot_n = reps.join(bits, "rep").select(F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("bits").alias("pivot_bits"))
-    stars = buckets.where("rep <> pivot").groupBy("rep", "n", "pivot").agg(F.count(F.lit(1)).alias("shared"))
-    stars = materialise(stars.join(pivot_n, "pivot").where(sizes_fit(F.col("n"), F.col("pivot_n"))).join(bits, "rep").where(fits(F.col("bits"), F.col("pivot_bits"))).select("rep", "pivot", "shared"), "stars")
     wanted = buckets.select(F.col("rep").alias("uid")).distinct()
+    bits = materialise(sk.select("uid", "n", "bits").join(wanted, "uid", "left_semi").withColumnRenamed("uid", "rep"), "bits")
+    pivot_bits = bits.select(F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("bits").alias("pivot_bits"))
+    stars = buckets.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("shared"))
+    stars = materialise(stars.join(pivot_bits, "pivot").join(bits, "rep").where(sizes_fit(F.col("n"), F.col("pivot_n")) & fits(F.col("bits"), F.col("pivot_bits"))).select("rep", "pivot", "shared"), "stars")
     texts = materialise(texts.join(wanted, "uid", "left_semi"), "candidates")
     first = stars.groupBy("rep").agg(F.max(F.struct("shared", (-F.col("pivot")).alias("p"))).alias("x")).select("rep", (-F.col("x.p")).alias("pivot"))
     done = _compared(first, texts, k, percent, "first")
     label = _labels(reps, done.where("link"))
 
-    def settle(open_rows: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Compare pairs; the links so far, the labels they give and the buckets still open."""
+    def settle(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Compare pairs; the comparisons so far and the labels that their links give."""
         more = _compared(pairs.select("rep", "pivot").distinct().join(done, ["rep", "pivot"], "left_anti"), texts, k, percent, name)
         links = done.unionByName(more)
         if more.where("link").isEmpty():
-            return links, label, open_rows
+            return links, label
         named = _labels(reps, links.where("link"))
-        return links, named, _open(buckets, named)
-
-    open_rows = _open(buckets, label)
-    if not open_rows.isEmpty():
-        done, label, open_rows = settle(open_rows, open_rows.where("rep <> pivot").join(stars.select("rep", "pivot"), ["rep", "pivot"], "left_semi"), "second")
-        done, label, open_rows = settle(open_rows, _drawn(open_rows, bits, sizes_fit, fits), "third")
-        done, label, open_rows = settle(open_rows, _rest(open_rows, done, sk, percent, sizes_fit, fits), "fourth")
+        discard(label)
+        return links, named
+
+    opened = _open(buckets, label)
+    if not opened.isEmpty():
+        own = opened.where("rep <> pivot").join(stars.select("rep", "pivot"), ["rep", "pivot"], "left_semi").select("rep", "pivot")
+        done, label = settle(own.unionByName(_drawn(opened, bits, sizes_fit, fits)), "second")
+        discard(opened)
+        opened = _open(buckets, label)
+        done, label = settle(_rare_pairs(opened, texts, k, percent), "third")
+    discard(opened, buckets, bits, stars, texts)
     return member.join(label.select("rep", "label"), "rep").select("uid", "n", "label")
 
 
 def _open(buckets: DataFrame, label: DataFrame) -> DataFrame:
-    """Rows, with labels, of the buckets that hold more than one component."""
-    named = buckets.join(label.select("rep", "label"), "rep")
+    """Rows, with sizes and labels, of the buckets that hold more than one component."""
+    named = buckets.join(label, "rep")
     several = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
     return materialise(named.join(several, "key", "left_semi"), "open")
 
 
-def _main(open_rows: DataFrame) -> DataFrame:
-    """(key, main): the label of most rows of a bucket."""
-    counts = open_rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
-    return counts.groupBy("key").agg(F.max(F.struct("m", "label")).alias("x")).select("key", F.col("x.label").alias("main"))
+def _main(rows: DataFrame, key: str) -> DataFrame:
+    """(key, main): the label of most rows, for every key of rows with several labels."""
+    counts = rows.groupBy(key, "label").agg(F.count(F.lit(1)).alias("m"))
+    return counts.groupBy(key).agg(F.max(F.struct("m", "label")).alias("x"), F.count(F.lit(1)).alias("of")).where("of > 1").select(key, F.col("x.label").alias("main"))
 
 
 def _pair(a: str, b: str) -> list:
@@ -285,35 +315,57 @@ def _pair(a: str, b: str) -> list:
 
 def _drawn(open_rows: DataFrame, bits: DataFrame, sizes_fit, fits) -> DataFrame:
     """Members outside a bucket's largest component, each with one member of it drawn by hash: its buckets give it many partners."""
-    rows = open_rows.join(_main(open_rows), "key")
+    rows = open_rows.join(_main(open_rows, "key"), "key")
     drawn = rows.where("label = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "n")).alias("x")).select("key", F.col("x.rep").alias("other"), F.col("x.n").alias("n_other"))
     pairs = rows.where("label <> main").join(drawn, "key").where(sizes_fit(F.col("n"), F.col("n_other"))).select("rep", "other").distinct()
-    both = pairs.join(bits, "rep").join(bits.select(F.col("rep").alias("other"), F.col("bits").alias("bits_other")), "other")
+    both = pairs.join(bits.select("rep", "bits"), "rep").join(bits.select(F.col("rep").alias("other"), F.col("bits").alias("bits_other")), "other")
     return both.where(fits(F.col("bits"), F.col("bits_other"))).select(*_pair("rep", "other"))
 
 
-def _rest(open_rows: DataFrame, done: DataFrame, sk: DataFrame, percent: int, sizes_fit, fits) -> DataFrame:
-    """Pairs of different components in a bucket that neither sizes nor the triangle inequality rule out.
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(1.03)).cast("int")
+
+
+def _rare_pairs(open_rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs of different components among the members of open buckets whose rarest shingles allow a link.
 
-    Members outside a bucket's largest component are matched with all others,
-    so a large component is never matched with itself, and a pair counts in the
-    first bucket only that it shares.
+    All sets are read in one order: by the number of open members that have the
+    shingle, then by hash. A set of n shingles can lose ``at`` of them and still
+    be linked while 100 * (n - at) >= percent * n, so it is indexed under its
+    shingles in these places only (those that no other set has need no index,
+    but take their places). Where two sets meet at ``at_a`` and ``at_b`` for the
+    first time, they share min(n_a - at_a, n_b - at_b) shingles at most. Looking
+    up is done from outside the component of most sets under a shingle, and only
+    among the sizes that this bound leaves, so a large component is never
+    matched with itself.
     """
-    far = done.select("rep", "pivot", (1 - F.col("inter") / F.col("joined")).alias("d"))
-    keys = sk.select(F.col("uid").alias("rep"), "keys", "bits")
-    rows = open_rows.join(far, ["rep", "pivot"], "left").join(keys, "rep")
-    rows = materialise(rows.select("key", "band", "rep", "n", "label", "keys", "bits", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d")), "open-distances")
-    few = rows.join(_main(rows), "key").where("label <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), F.col("d").alias("d_a"), F.col("keys").alias("keys_a"), F.col("bits").alias("bits_a"), "main")
-    before = F.exists(F.slice(F.arrays_zip("keys", "keys_a"), F.lit(1), F.col("band")), lambda x: x["keys"] == x["keys_a"])
-    met = few.join(rows, "key").where(
+    members = open_rows.select("rep", "n", "label").distinct()
+    held = members.join(texts.withColumnRenamed("uid", "rep"), "rep").select("rep", "n", "label", "text")
+    sets = materialise(held.mapInArrow(_sets(k), "rep long, n long, label long, h array<long>"), "open-sets")
+    each = sets.select("rep", "n", "label", F.explode("h").alias("h"))
+    several = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = each.join(several, "h").groupBy("rep", "n", "label").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
+    places = F.transform("s", lambda x, i: F.struct((F.col("n") - F.size("s") + i).alias("at"), x["h"].alias("h")))
+    front = F.filter(places, lambda x: 100 * (F.col("n") - x["at"]) >= percent * F.col("n"))
+    index = shared.select("rep", "n", "label", F.explode(front).alias("x")).select("rep", "n", "label", "x.at", "x.h")
+    index = materialise(index.withColumn("size", _size_class(F.col("n"))), "rare")
+    discard(sets)
+    # The bound as sizes: from percent of one's own up to where (100 + percent) * (n - at) = percent * (n + n_b), and the same the other way.
+    few = index.join(_main(index, "h"), "h").where("label <> main")
+    few = few.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), F.col("at").alias("at_a"), "h", "main")
+    least = F.ceil(F.col("n_a") * percent / 100 - 1e-6)
+    most = F.least(F.floor(F.col("n_a") * 100 / percent + 1e-6), F.floor((100 + percent) * (F.col("n_a") - F.col("at_a")) / percent + 1e-6) - F.col("n_a"))
+    few = few.withColumn("least", least).withColumn("most", most).where("least <= most")
+    few = few.select("a", "n_a", "l_a", "at_a", "h", "main", F.explode(F.sequence(_size_class(F.greatest("least", F.lit(1))), _size_class(F.col("most")))).alias("size"))
+    met = few.join(index, ["h", "size"]).where(
         (F.col("label") != F.col("l_a"))
         & ((F.col("label") == F.col("main")) | (F.col("a") < F.col("rep")))
-        & sizes_fit(F.col("n"), F.col("n_a"))
-        & fits(F.col("bits"), F.col("bits_a"))
-        & (F.col("d").isNull() | F.col("d_a").isNull() | (F.abs(F.col("d") - F.col("d_a")) <= 1 - percent / 100 + 1e-9))
-        & ~before
+        & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
+        & ((100 + percent) * F.least(F.col("n") - F.col("at"), F.col("n_a") - F.col("at_a")) >= percent * (F.col("n") + F.col("n_a")))
     )
-    return met.select(*_pair("a", "rep"))
+    pairs = materialise(met.select(*_pair("a", "rep")).distinct(), "rare-pairs")
+    discard(index)
+    return pairs
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,26 +379,31 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     which one row is kept. An empty table gives no rows; other columns of
     ``docs`` are not read.
     """
-    held = with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
-    return _grouped(_rows(held, "doc_id", "text"), k, percent).select("doc_id", "n_shingles", "component_id", "kept")
+    rows = docs.select(whole_ids(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _grouped(*with_row_id(rows, "doc_id"), "doc_id", "text", k, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _rows(held: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return held.select(F.col("__uid").alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-
-def _grouped(held: DataFrame, k: int, percent: int) -> DataFrame:
+def _grouped(held: DataFrame, uid: str, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """(uid, doc_id, n_shingles, component_id, kept) of ``held``, whose column ``uid`` names its rows."""
     bands, rows = banding(percent / 100)
-    sk = materialise(held.select("uid", "text").mapInArrow(_sketches(k, bands, rows), "uid long, n long, set1 long, set2 long, keys array<long>, bits array<long>"), "sketches")
-    found = _components(sk, held.select("uid", "text"), k, percent)
-    ids = held.select("uid", "doc_id")
+    texts = held.select(F.col(uid).alias("uid"), F.col(text_col).cast("string").alias("text"))
+    sk = materialise(texts.mapInArrow(_sketches(k, bands, rows), "uid long, n long, set1 long, set2 long, keys array<long>, bits array<long>"), "sketches")
+    found = _components(sk, texts, k, percent)
+    ids = held.select(F.col(uid).alias("uid"), F.col(id_col).cast("long").alias("doc_id"))
     named = materialise(ids.join(found, "uid", "left").select("uid", "doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("label", "uid").alias("label")), "named")
+    discard(sk)
     first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid")).alias("x")).select("label", F.col("x.doc_id").alias("component_id"), F.col("x.uid").alias("keep_uid"))
     return named.join(first, "label").select("uid", "doc_id", "n_shingles", "component_id", (F.col("uid") == F.col("keep_uid")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group, columns unchanged."""
-    held = with_row_id(docs, id_col)
-    gone = _grouped(_rows(held, id_col, text_col), k, percent).where(~F.col("kept")).select(F.col("uid").alias("__uid"))
-    return held.join(gone, "__uid", "left_anti").select(*docs.columns)
+    """``docs`` with one document of each group of :func:`near_dedup` (its least id), columns unchanged.
+
+    Documents without words, or null, are all kept; of rows that repeat an id and a
+    text one stays; null ids, any columns of other names and an empty table are fine.
+    Texts of any length are taken whole.
+    """
+    whole_ids(docs, id_col)
+    held, uid = with_row_id(docs, id_col)
+    gone = _grouped(held, uid, id_col, text_col, k, percent).where(~F.col("kept")).select(F.col("uid").alias(uid))
+    return held.join(gone, uid, "left_anti").select(*docs.columns)
