@@ -77,20 +77,21 @@ rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id,
 line AS (
   SELECT doc_id, host, t, unnest(lines) AS l FROM w),
 norm AS (
-  SELECT doc_id, host, t, len(regexp_extract_all(l, '{_WORD}')) AS n,
+  SELECT doc_id, host, t, len(regexp_extract_all(l, '{_WORD}')) AS n, ('0x' || md5(l)[1:8])::BIGINT AS digest,
          trim(regexp_replace(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS k
   FROM line),
-often AS (
-  SELECT host, k FROM (SELECT host, k, count(DISTINCT t) AS nd FROM norm GROUP BY host, k) JOIN (SELECT host, count(DISTINCT t) AS hd FROM d GROUP BY host) USING (host)
-  WHERE nd > 20 AND nd > hd * 0.1::DOUBLE),
-gone AS (SELECT doc_id, sum(n)::BIGINT AS gone FROM norm JOIN often USING (host, k) GROUP BY doc_id),
+often AS (SELECT host, k FROM norm GROUP BY host, k HAVING count(DISTINCT t) > 20),
+told AS (
+  SELECT doc_id, coalesce(sum(n) FILTER (o.k IS NOT NULL), 0)::BIGINT AS gone, coalesce(sum(digest) FILTER (o.k IS NULL), 0)::BIGINT AS digest
+  FROM norm n LEFT JOIN often o USING (host, k) GROUP BY doc_id),
 stat AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(gone, 0)::BIGINT AS n_line_words_removed
-  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(gone, 0)::BIGINT AS n_line_words_removed, coalesce(digest, 0)::BIGINT AS lines_left_digest
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN told USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_line_words_removed <= n_words * 0.5::DOUBLE AS kept, n_line_words_removed
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * n_line_words_removed <= n_words AND n_words - n_line_words_removed >= 50 AS kept,
+       n_line_words_removed, n_words - n_line_words_removed AS n_words_left, lines_left_digest
 FROM stat
 """
