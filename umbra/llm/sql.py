@@ -29,39 +29,41 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
 FROM s
 """
 
-# Pages are joined to the keys their canonical and refresh links name; components by recursion over distinct edges.
+# Pages are joined to the URLs (host, path and query) that their canonical and refresh links name; components by recursion over distinct edges.
 OP8 = r"""
 WITH RECURSIVE cut AS (
-  SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  SELECT page_id, regexp_replace(html, '(?is)<!--.*?(-->|$)|<script\b.*?(</script\b|$)|<style\b.*?(</style\b|$)|<textarea\b.*?(</textarea\b|$)|<noscript\b.*?(</noscript\b|$)|<template\b.*?(</template\b|$)', ' ', 'g') AS html,
+         CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 part AS (
   SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS whole FROM cut),
 link AS (
-  SELECT host, path, replace(trim(unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)])), '&amp;', '&') AS link
+  SELECT host, path, whole, replace(trim(unnest([
+    regexp_extract(regexp_extract(html, '(?is)<link\b[^<>]*\brel\s*=\s*["'']?canonical\b[^<>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^<>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^<>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)])), '&amp;', '&') AS link
   FROM part WHERE host <> ''),
 target AS (
-  SELECT host || path AS u, CASE WHEN contains(link, '://') THEN substr(link, instr(link, '://') + 3) WHEN starts_with(link, '//') THEN substr(link, 3)
-    WHEN starts_with(link, '/') THEN host || link
+  SELECT host || whole AS u,
+    CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN substr(link, instr(link, '://') + 3) WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN ''
+    WHEN starts_with(link, '//') THEN substr(link, 3) WHEN starts_with(link, '/') THEN host || link WHEN starts_with(link, '?') THEN host || path || link
     ELSE host || CASE WHEN regexp_extract(path, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || link END AS rest
-  FROM link WHERE link <> ''),
+  FROM link WHERE link <> '' AND NOT starts_with(link, '#')),
 edge AS (
-  SELECT u, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS v
+  SELECT u, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS v
   FROM target WHERE regexp_extract(rest, '^([^/?#]*)', 1) <> ''),
 both_ways AS (SELECT u, v FROM edge UNION SELECT v, u FROM edge),
 reach AS (SELECT u AS a, u AS b FROM both_ways UNION SELECT r.a, e.v FROM reach r JOIN both_ways e ON r.b = e.u),
 rules(verdict, of, under) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 node_rule AS (
   SELECT b AS k, arg_max(verdict, length(of || under)) AS says
-  FROM (SELECT DISTINCT b, split_part(b, '/', 1) AS h, substr(b, length(split_part(b, '/', 1)) + 1) AS p FROM reach) n
+  FROM (SELECT DISTINCT b, regexp_extract(b, '^([^/?]*)', 1) AS h, regexp_extract(b, '^[^/?]*([^?]*)', 1) AS p FROM reach) n
   JOIN rules ON (h = of OR ends_with(h, '.' || of)) AND starts_with(p, under) GROUP BY b),
 hit AS (SELECT DISTINCT a AS k FROM reach JOIN node_rule ON b = k WHERE says = 'block'),
 page_rule AS (
   SELECT page_id, arg_max(of || under, length(of || under)) AS rule, arg_max(verdict, length(of || under)) AS says
   FROM part JOIN rules ON (host = of OR ends_with(host, '.' || of)) AND starts_with(path, under) GROUP BY page_id)
 SELECT p.page_id, p.host, p.path, r.rule, coalesce(r.says, CASE WHEN h.k IS NOT NULL THEN 'block' END, 'allow') AS verdict
-FROM part p LEFT JOIN page_rule r USING (page_id) LEFT JOIN hit h ON h.k = p.host || p.path AND p.host <> ''
+FROM part p LEFT JOIN page_rule r USING (page_id) LEFT JOIN hit h ON h.k = p.host || p.whole AND p.host <> ''
 """
 
 _WORD = r"[^\x20\x09-\x0D]+"

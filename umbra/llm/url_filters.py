@@ -18,8 +18,12 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+CANONICAL = r"""(?is)<link\b[^<>]*\brel\s*=\s*["']?canonical\b[^<>]*>"""
+REFRESH = r"""(?is)<meta\b[^<>]*\bhttp-equiv\s*=\s*["']?refresh\b[^<>]*>"""
+#: Where markup is none.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|noscript|template)\b.*?(?:</\1\b|\z)"
+#: A link that names its scheme; only with // behind it a host follows.
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH_URL = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
 
@@ -51,12 +55,13 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]],
 
 
 def _resolved(host: Column, path: Column, link: Column) -> Column:
-    """An absolute URL for ``link`` as found on the page of host and path."""
+    """An absolute URL for ``link`` as found on the page of host and path; null for what names no other page (mailto:, #part)."""
     link = F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
     folder = F.regexp_extract(path, "^(.*/)", 1)
     return (
-        F.when(link == "", None)
-        .when(link.contains("://"), link)
+        F.when((link == "") | link.startswith("#"), None)
+        .when(link.rlike(SCHEME + "//"), link)
+        .when(link.rlike(SCHEME), None)
         .when(link.startswith("//"), F.concat(F.lit("x:"), link))
         .when(link.startswith("?"), F.concat(F.lit("x://"), host, path, link))
         .when(link.startswith("/"), F.concat(F.lit("x://"), host, link))
@@ -67,9 +72,9 @@ def _resolved(host: Column, path: Column, link: Column) -> Column:
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(u, v): pages' keys and the keys their redirects and canonical links name. A key is host, path and query (see :func:`url_key`)."""
     host, path = url_parts(F.col(url_col))
-    html = F.col(html_col)
-    canonical = F.when(F.lower(html).contains("canonical"), F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1))
-    refresh = F.when(F.lower(html).contains("refresh"), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), REFRESH_URL, 1))
+    html = F.regexp_replace(F.col(html_col), UNREAD, " ")
+    canonical = F.when(F.col(html_col).rlike("(?i)canonical"), F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1))
+    refresh = F.when(F.col(html_col).rlike("(?i)refresh"), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), REFRESH_URL, 1))
     found = pages.select(url_key(F.col(url_col)).alias("u"), host.alias("h"), path.alias("p"), F.explode(F.array(canonical, refresh)).alias("link")).where("link <> '' AND h <> ''")
     to = found.select("u", _resolved(F.col("h"), F.col("p"), F.col("link")).alias("to"))
     return to.where(url_parts(F.col("to"))[0] != "").select("u", url_key(F.col("to")).alias("v")).distinct()
@@ -87,8 +92,11 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     queries are different ones.
 
     ``redirects``: more edges as URLs (u, v), as from a crawl log. Pages with
-    null or malformed URLs have no host, no aliases and verdict allow. Repeated
-    pages each get a row; other columns aren't read; an empty table gives none.
+    null or malformed URLs have no host, no aliases and verdict allow; null html
+    has no links; links in comments and scripts are none. Rules of one length that
+    fit the same URL go in the order of verdict, host and path, allow first.
+    Repeated pages each get a row; other columns aren't read; an empty table
+    gives none; pages of any length are read whole.
     """
     edges = alias_edges(pages, url_col, html_col)
     if redirects is not None:
