@@ -13,19 +13,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm.common import whole_ids
+from umbra.llm.markup import attributes, raw_ends, walk
+
 VERSION = "WARC/1.1"
 #: Source headers that derived records take over unchanged where the response has them.
 CARRIED = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Identified-Payload-Type", "WARC-Truncated")
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the fixed namespace for URLs of RFC 4122
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_HEAD = re.compile(r"<head(?=[\s/>])[^>]*>", re.I)
-#: What stands in a head (a title with its text); anything else ends it, whether or not its end tag is there.
-_IN_HEAD = re.compile(r"\s+|<title\b[^>]*>.*?(?:</title\s*>|\Z)|</?(?:base|basefont|bgsound|link|meta|title|script|style|noscript|template)\b[^>]*>|<![^>]*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|h[1-6]|li|ul|ol|tr|td|th|table|section|article|header|footer|nav|aside|main|blockquote|pre|form|br|hr|dl|dt|dd|title|body|html)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[!?/a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+# Elements of HTML by what becomes of them in plain text.
+_HIDDEN = frozenset("script style noscript template title".split())
+_IN_HEAD = frozenset("base basefont bgsound link meta".split()) | _HIDDEN
+_BREAKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol tr td th table section article header footer nav aside main blockquote pre form br hr dl dt dd body html".split())
+_RAW_END = raw_ends(_HIDDEN)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -58,35 +58,54 @@ def _header_lines(lines: list[bytes]) -> list[tuple[str, str]]:
 
 
 def parse(data: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
-    """(headers, block) of every record in uncompressed WARC bytes; a truncated last record keeps what is there."""
+    """(headers, block) of every record in uncompressed WARC bytes.
+
+    A truncated last record keeps what is there; so does a record whose
+    Content-Length is no whole number: its block is the rest of the data. One
+    without Content-Length has an empty block.
+    """
     found, at = [], 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             break
         headers = _header_lines(data[at:end].split(b"\r\n")[1:])
-        length = int(next((v for k, v in headers if k.lower() == "content-length"), "0") or 0)
-        found.append((headers, data[end + 4 : end + 4 + length]))
-        at = end + 4 + length
+        said = next((v for k, v in headers if k.lower() == "content-length"), "") or "0"
+        at = end + 4
+        length = int(said) if said.isascii() and said.isdigit() and len(said) < 19 else len(data) - at
+        found.append((headers, data[at : at + length]))
+        at += length
     return found
 
 
-def _without_head(page: str) -> str:
-    """``page`` (scripts and comments gone) without its head, which ends at </head>, <body or whatever can't stand in it."""
-    head = _HEAD.search(page)
-    if not head:
-        return page
-    at = head.end()
-    while m := _IN_HEAD.match(page, at):
-        at = m.end()
-    return f"{page[: head.start()]} {page[at:]}"
+def read_page(page: str) -> tuple[str, str, list[str]]:
+    """Visible text (a line per block, blanks folded), title, and links in order without repeats.
+
+    A head ends at its end tag, at <body or at whatever can't stand in it.
+    Scripts, styles, comments and titles are no text, and links in them no links.
+    """
+    parts, title, links, in_head = [], None, {}, False
+    for text, tag, closes, about, inner in walk(page, _RAW_END):
+        in_head = in_head and (not text or text.isspace())
+        if not in_head:
+            parts.append(text)
+        if tag == "title" and not closes and title is None:
+            title = "".join(x for x, *_ in walk(inner, {}))
+        if tag == "a" and not closes:
+            if href := next((v for k, v in attributes(about) if k == "href"), ""):
+                links.setdefault(html.unescape(href).strip())
+        if tag == "head" and not closes:
+            in_head = True
+        elif in_head and tag and tag not in _IN_HEAD:
+            in_head = False
+        if not in_head:
+            parts.append("\n" if tag in _BREAKS else " " if not tag or tag in _HIDDEN else "")
+    lines = (" ".join(line.split()) for line in html.unescape("".join(parts)).split("\n"))
+    return "\n".join(line for line in lines if line), " ".join(html.unescape(title or "").split()), [x for x in links if x]
 
 
 def plain_text(page: str) -> str:
-    """Visible text of a whole page, a line per block, blanks folded."""
-    text = _TAG.sub("", _BREAK.sub("\n", _without_head(_HIDDEN.sub(" ", page))))
-    lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
-    return "\n".join(line for line in lines if line)
+    return read_page(page)[0]
 
 
 def _body(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -122,20 +141,19 @@ def derive(record: bytes) -> list[dict]:
         payload_digest = named.get("warc-payload-digest") or digest(payload)
         carried = [(k, named[k.lower()]) for k in CARRIED if k.lower() in named]
         ids = {kind: record_id(kind, source) for kind in ("metadata", "conversion")}
-        title = _TITLE.search(page)
-        links = list(dict.fromkeys(html.unescape(next(filter(None, m.groups()), "")).strip() for m in _LINK.finditer(page)))
+        text, title, links = read_page(page)
         fields = [
             ("via", named.get("warc-target-uri", "")),
             ("http-status", (status.split(" ", 2) + ["", ""])[1]),
             *((f"http-{k.lower()}", v) for k, v in http),
             ("charset-detected", charset),
-            ("title", " ".join(html.unescape(_TAG.sub("", title[1])).split()) if title else ""),
+            ("title", title),
             ("source-block-digest", block_digest),
             ("source-payload-digest", payload_digest),
             ("conversion", ids["conversion"]),
-            *(("outlink", link) for link in links if link),
+            *(("outlink", link) for link in links),
         ]
-        blocks = {"metadata": "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace"), "conversion": plain_text(page).encode("utf-8", "replace")}
+        blocks = {"metadata": "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace"), "conversion": text.encode("utf-8", "replace")}
         kinds = {"metadata": "application/warc-fields", "conversion": "text/plain; charset=utf-8"}
         for kind, data in blocks.items():
             mine = [("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Refers-To", source), *carried]
@@ -163,7 +181,9 @@ def _derive(batches: Iterator[pa.RecordBatch], with_record: bool) -> Iterator[pa
 def response_records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, record): each page as the bytes of a WARC response record.
 
-    Null url or html count as empty; line ends in a url are dropped so that they can't break the header.
+    Null url or html count as empty; blanks in a url are dropped so that they can't
+    break the header. Repeated pages and null ids each give a record; pages of any
+    length are taken whole; other columns are not read; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +199,7 @@ def response_records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", id_co
                     out.append(serialise(headers, block))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["page_id", "record"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(whole_ids(pages, id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, record binary")
 
 
@@ -192,6 +212,6 @@ def build_derivatives(records: DataFrame, with_record: bool = True) -> DataFrame
     another. Records of other types and null records give no rows, a response
     without HTTP head or text gives an empty conversion. Repeated records give
     the same ids again. A row is worked on by itself, so memory is bounded by
-    the largest record.
+    the largest record; other columns are not read; an empty table gives no rows.
     """
     return records.select("page_id", "record").mapInArrow(lambda b: _derive(b, with_record), _DERIVED + ", record binary" * with_record)
