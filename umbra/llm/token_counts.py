@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from umbra.llm.common import materialise, whole_ids
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's pre-tokenisation pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,11 +44,13 @@ def _lengths(ranks: bytes):
 def token_lengths(docs: DataFrame, ranks_path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens) of every document's whole text; null and empty texts have 0.
 
-    The vocabulary (of fixed size) is read by the driver and travels with the plan.
+    Repeated rows each get a row, null ids stay null; texts of any length are
+    encoded whole; other columns are not read; an empty table gives no rows. The
+    vocabulary (of fixed size) is read by the driver and travels with the plan.
     """
     with open(ranks_path, "rb") as f:
         ranks = f.read()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(whole_ids(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_lengths(ranks), "doc_id long, n_tokens long")
 
 
@@ -61,10 +65,12 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     Documents fold into the histogram before the shuffle, so a length that a
     third of all documents have is one row per task. Running sums go in two
     levels, over blocks of SPAN lengths and inside each, so that no task holds
-    more lengths than a block or more rows than there are blocks.
+    more lengths than a block or more rows than there are blocks. Repeated rows
+    count each, null lengths and other columns don't; an empty table gives no rows.
     """
-    hist = lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"))
+    hist = lengths.where("n_tokens IS NOT NULL").groupBy(F.col("n_tokens").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"))
     hist = hist.withColumn("tokens", F.col("n_docs") * F.col("length")).withColumn("span", F.expr(f"length div {SPAN}"))
+    hist = materialise(hist, "lengths")  # read twice, and small beside the texts that were encoded for it
     spans = hist.groupBy("span").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     after = Window.orderBy(F.col("span").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
