@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm.common import whole_ids
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Agendas (without dropout: segmentations) a worker keeps in each of two generations, and the longest word it keeps.
@@ -379,7 +381,7 @@ def _model(path: str) -> bytes:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(whole_ids(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, rate: float = 0.1, seed: int = 0, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -387,16 +389,25 @@ def encode(docs: DataFrame, rate: float = 0.1, seed: int = 0, model_path: str =
 
     ``rate`` 0 gives the model's own best merges. Repeated rows are encoded
     alike, null ids like an id of their own; other columns are not read; an
-    empty table gives no rows. The model (of fixed size) travels with the plan.
+    empty table gives no rows. Texts of any length are encoded whole, the agenda
+    of a long word being a heap. The model (of fixed size) travels with the plan.
     """
     return _texts(docs, id_col, text_col).mapInArrow(_encode(_model(model_path), rate, seed), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids); null ids give null."""
+    """(doc_id, text) of (doc_id, ids); null ids give null, no ids an empty text.
+
+    Repeated rows are decoded each; lists of any length are decoded whole; other
+    columns are not read; an empty table gives no rows.
+    """
     return encoded.select("doc_id", "ids").mapInArrow(_decode(_model(model_path)), "doc_id long, text string")
 
 
 def encode_and_check(docs: DataFrame, rate: float = 0.1, seed: int = 0, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), lossless (they decode to the very text; null as empty)."""
+    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), lossless (they decode to the very text; null as empty).
+
+    Rows are encoded as by :func:`encode`, repeated ones and those with null ids each;
+    texts of any length whole; an empty table gives no rows.
+    """
     return _texts(docs, id_col, text_col).mapInArrow(_check(_model(model_path), rate, seed), "doc_id long, n_tokens long, ids_crc32 long, lossless boolean")

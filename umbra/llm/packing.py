@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import tasks_for
+from umbra.llm.common import tasks_for, whole_ids
 
 CAPACITIES = (2048, 4096, 8192, 16384)
 #: Chunks packed together: a block's loss is a part of its last open bins, and memory holds one block.
@@ -161,10 +161,11 @@ def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, cost
     Inside a block chunks go from longest to shortest (then by id and start),
     which is best-fit decreasing. Null ids are packed like others; rows with a
     null or non-positive custom length have nothing to pack and are left out.
-    An empty table gives no rows; other columns are not read.
+    Repeated rows are packed each. Texts of any length are packed whole. An empty
+    table gives no rows; other columns are not read.
     """
     top = int(max(capacities))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (byte_tokens(F.col(text_col)) if length is None else length.cast("long")).alias("tokens"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where("tokens > 0")
+    rows = docs.select(whole_ids(docs, id_col).alias("doc_id"), (byte_tokens(F.col(text_col)) if length is None else length.cast("long")).alias("tokens"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where("tokens > 0")
     n_blocks = max(1, math.ceil(docs.count() / (block_chunks / 2)))
     chunks = rows.select(
         F.pmod("h", F.lit(n_blocks)).alias("block"), "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(tokens - 1) div {top}"))).alias("i"), "tokens"
