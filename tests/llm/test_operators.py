@@ -277,6 +277,50 @@ def test_url_aliases_tell_queries_apart(spark):
     assert {r.page_id: r.verdict for r in filter_urls(df, redirects=logged).collect()} == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "block"}
 
 
+def test_url_components_against_brute_force_and_sql(spark, tmp_path):
+    """Chains, stars, cycles and 10,000 random edges; rules inside components; queries; links that hold URLs; markup that is none."""
+    import duckdb
+
+    from umbra.llm.sql import OP8
+
+    rng = random.Random(6)
+    url = lambda i: f"http://h{i % 50}.net/p{i // 50}?q={i}"
+    link = '<link rel="canonical" href="{}">'
+    rows = [(i, url(i), link.format(url(i + 1)) if i % 40 else "") for i in range(400)]  # chains
+    rows += [(i, url(i), link.format(url(400))) for i in range(401, 600)]  # a star
+    rows += [(600 + i, url(600 + i), link.format(url(600 + (i + 1) % 30))) for i in range(30)]  # a cycle
+    rows += [(700, "http://x.com/de/1", link.format(url(17))), (701, "http://y.org/a", link.format("http://z.com/de/2")), (702, "http://y.net/b", link.format("http://y.org/a")), (703, "http://a.com/fr/1", link.format(url(405)))]
+    rows += [(710, "http://c.net/p", link.format("/go?u=http://b.com/de/7")), (711, "http://c.net/q", f"<!-- {link.format('http://b.com/de/7')} -->"), (712, "http://c.net/r", f"<script>{link.format('http://b.com/de/7')}</script>")]
+    rows += [(713, "http://c.net/s", link.format("mailto:x@b.com/de/7")), (714, "http://c.net/t", link.format("#http://b.com/de/7")), (715, "http://c.net/u", link.format("//b.com/de/7#x"))]
+    rows += [(716, "http://c.net/v", "<link " * 20_000 + "canonical"), (717, "http://b.com/de/7", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in filter_urls(df).collect()}
+    assert {i for i, v in got.items() if v == "block" and i < 700} == set(range(1, 41)), "the chain of the page that a block rule names"
+    assert {i: got[i] for i in range(700, 718)if i in got} == {700: "block", 701: "allow", 702: "block", 703: "allow", 710: "allow", 711: "allow", 712: "allow", 713: "allow", 714: "allow", 715: "block", 716: "allow", 717: "block"}
+    con = duckdb.connect()
+    con.execute("create table pages as select unnest($1) as page_id, unnest($2) as url, unnest($3) as html", [[list(x) for x in zip(*rows)][i] for i in range(3)])
+    assert dict(con.execute(f"select page_id, verdict from ({OP8})").fetchall()) == got
+
+    nodes = [f"http://n{rng.randrange(9000)}.net/{rng.randrange(2)}" for _ in range(8000)] + [f"http://n.com/de/{i}" for i in range(40)] + [f"http://n.org/{i}" for i in range(40)]
+    edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(10_000)]
+    up = {n: n for n in nodes}
+
+    def top(a):
+        while up[a] != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        return a
+
+    for a, b in edges:
+        up[top(a)] = top(b)
+    bad = {top(n) for n in nodes if "/de/" in n}
+    seen = {n for e in edges for n in e}
+    want = {n: "allow" if ".org/" in n else "block" if "/de/" in n or (n in seen and top(n) in bad) else "allow" for n in nodes}
+    df = spark.createDataFrame([(i, n, None) for i, n in enumerate(nodes)], "page_id long, url string, html string")
+    got = filter_urls(df, redirects=spark.createDataFrame(edges, "u string, v string")).select("page_id", "verdict").collect()
+    assert {nodes[r.page_id]: r.verdict for r in got} == want and "block" in {v for n, v in want.items() if ".net/" in n}
+
+
 def brute_stats(t):
     w = [x for x in (t or "").replace("\x1c", "\x1c").encode().split()]
     w = [x.decode() for x in w]
@@ -362,6 +406,104 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert {r.doc_id: r.length for r in got} == {i: sizes[i] for i in set(range(31)) - {2}}
 
 
+LONG_TEXT = "one two three, four five. " * 40_000
+EDGES = [(1, "a b c", "s"), (1, "a b c", "s"), (2, None, None), (3, "", "s"), (None, "a B c", "s"), (4, LONG_TEXT, "s"), (5, " \n\t", "s"), (6, "x" * 300_000, "s"), (7, "tie", "s"), (8, "tie", "t")]
+ON_DOCUMENTS = {
+    "op1": lambda d: exact_dedup(d),
+    "op2": lambda d: pack_documents(d).dropDuplicates(["block", "part", "bin", "at"]).where("start = 0"),
+    "op3": lambda d: merge_dropout.encode_and_check(d),
+    "op4": lambda d: near_dedup(d),
+    "op6": lambda d: shard_by_bytes(d, 3),
+    "op7": lambda d: token_counts.token_lengths(d),
+    "op9": lambda d: judge_documents(d),
+}
+ON_PAGES = {"op5": lambda d: build_derivatives(response_records(d)).where("warc_type = 'conversion'"), "op8": lambda d: filter_urls(d), "op10": lambda d: extract_pages(d)}
+
+
+@pytest.mark.parametrize("name", [*ON_DOCUMENTS, *ON_PAGES])
+def test_every_operator_takes_nulls_empties_long_texts_ties_and_repeats(spark, name):
+    """One row per input row, from an empty table none; other columns, whatever they are called, change nothing."""
+    if name in ON_DOCUMENTS:
+        run, docs = ON_DOCUMENTS[name], table(spark, EDGES)
+        plain = docs.select("doc_id", "text", "source")
+        clash = plain.selectExpr("*", *(f"'x' AS {c}" for c in ("uid", "kept", "n_words", "digest", "label", "rep", "size", "shard", "block", "n_tokens", "ids", "h", "host", "lines", "n", "row", "nr", "tokens", "__uid")))
+    else:
+        page = lambda t: None if t is None else f"<p>{t}</p>"
+        rows = [(i, None if i == 3 else f"http://a.net/{i}", page(t)) for i, t, _ in EDGES]
+        run, plain = ON_PAGES[name], spark.createDataFrame(rows, "page_id long, url string, html string")
+        clash = plain.selectExpr("*", *(f"'x' AS {c}" for c in ("host", "path", "rule", "verdict", "key", "hit", "text", "record", "warc_type", "n_chars", "u", "v", "node", "__uid")))
+    got = run(plain).collect()
+    assert len(got) == len(EDGES)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, got)) == sorted(map(key, run(clash).collect()))
+    assert run(plain.limit(0)).count() == 0
+
+
+def test_stages_take_nulls_empties_long_texts_and_empty_tables(spark):
+    docs = table(spark, EDGES)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+    ids = lambda df: sorted(r.doc_id if r.doc_id is not None else -1 for r in df.collect())
+    assert ids(corpus_pipeline.quality(spark, docs, "")) == []
+    assert ids(corpus_pipeline.exact(spark, docs, "")) == [1, 3, 4, 5, 6, 8]
+    assert ids(corpus_pipeline.near(spark, docs, "")) == [1, 2, 3, 4, 5, 6, 7]
+    packed = corpus_pipeline.pack(spark, docs, "").groupBy().sum("length").first()[0]
+    assert packed == sum(len((t or "").encode()) + 1 for _, t, _ in EDGES)
+
+
+def brute_bpe(pairs, word, skip):
+    """Merges of lowest rank first (leftmost on ties), those that ``skip`` names never; ends of the pieces."""
+    parts, dropped = [(i, i + 1) for i in range(len(word))], set()
+    while True:
+        open_ = [(pairs[word[a:b], word[b:c]], a, c) for (a, b), (_, c) in zip(parts, parts[1:]) if (word[a:b], word[b:c]) in pairs and (a, c) not in dropped]
+        if not open_:
+            return [b for _, b in parts]
+        _, a, c = min(open_)
+        if skip(a, c):
+            dropped.add((a, c))
+        else:
+            at = next(i for i, p in enumerate(parts) if p[0] == a)
+            parts[at : at + 2] = [(a, c)]
+
+
+def test_merge_dropout_against_brute_force():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=open(merge_dropout.MODEL, "rb").read())
+    score = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    rank = {p: n for n, p in enumerate(sorted(score, key=lambda p: -score[p]))}
+    pairs = {(p[:i], p[i:]): rank[p] for p in score for i in range(1, len(p)) if p[:i] in score and p[i:] in score}
+    codec = merge_dropout.load(open(merge_dropout.MODEL, "rb").read())
+    text = "the understanding of segmentations, and internationalisation of words in 2024 naïve " * 3
+    for rate in (0.0, 0.1, 0.4, 1.0):
+        enc = merge_dropout.Encoder(codec, rate, 11)
+        words = ["\u2581" + w for w in text.split(" ")]
+        bases = merge_dropout._bases(len(words), (5 ^ enc.salt) & ((1 << 64) - 1), 0)
+        want = []
+        for w, base in zip(words, bases.tolist()):
+            ends = brute_bpe(pairs, w, lambda a, c, base=base: enc.bar and merge_dropout._skipped(base, a, c, enc.bar))
+            want += [w[a:b] for a, b in zip([0, *ends], ends)]
+        assert [sp.id_to_piece(i) for i in enc.encode(text, 5).tolist()] == want, rate
+
+
+def test_token_lengths_against_brute_force(spark, corpus):
+    import base64
+
+    import regex
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(token_counts.RANKS, "rb").read().splitlines() if line)}
+    pairs = lambda w: {(w[a:b], w[b:c]): ranks[w[a:c]] for a in range(len(w)) for c in range(a + 2, len(w) + 1) for b in range(a + 1, c) if w[a:c] in ranks}
+    rows = [(i, t[:300] if t else t, s) for i, t, s in corpus[:40]] + [(900, "Über naïve 12345 'll  \n\n x🎉  ", "s")]
+    want = {i: sum(len(brute_bpe(pairs(w.encode()), w.encode(), lambda a, c: False)) for w in regex.findall(token_counts.PATTERN, t or "")) for i, t, _ in rows}
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_lengths(table(spark, rows)).collect()} == want
+
+
+def test_rules_of_one_length_tie_in_a_fixed_order(spark):
+    df = spark.createDataFrame([(1, "http://a.net/x", None)], "page_id long, url string, html string")
+    for rules in ((("block", "a.net", "/"), ("allow", "a.net", "/")), (("allow", "a.net", "/"), ("block", "a.net", "/"))):
+        assert filter_urls(df, rules).first().verdict == "allow"
+
+
 def test_stages_keep_columns(spark, corpus):
     docs = table(spark, corpus)
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -194,6 +195,61 @@ def test_main_text_is_dropped_by_no_loose_match():
     assert content(f"<body><div hidden><p>{long}</p></div><div aria-hidden=true>{long}</div><div class='x share'>Share it!</div><div><p>{long}</p><p>{long}</p></div></body>") == f"{long.strip()}\n\n{long.strip()}"
 
 
+LONG = "A sentence of some length, with marks in it, that goes on and on. " * 5
+MENU = "<ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li><li><a href=/c>Sport</a></li></ul>"
+ADVERT = "<div class=ad>Buy one, get one, today only.</div>"
+BODY, WANT = f"<h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p>", ["Title", LONG.strip(), "Short.", LONG.strip()]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body>{MENU}<div><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div>Copyright</div></body>", WANT),
+        (f"<body><div class='site no-sidebar'>{MENU}<div id=x>{BODY}</div></div></body>", WANT),
+        (f"<div><div class='story-teaser'><p>Teaser, short.</p></div><div id=body>{BODY}</div></div>", ["Teaser, short.", *WANT]),
+        (f"<table><tr><td>{MENU}<td>{BODY}<td>{ADVERT}</table>", WANT),
+        (f"<article>{BODY}{MENU}</article>", WANT),
+        (f"<article>{ADVERT}{BODY}<div class=share>Share it!</div></article>", WANT),
+        (f"<article><h1>Title</h1><p>{LONG}<span class='ad'>Buy <span>now</span>!</span></p><p>Short.</p><p>{LONG}</article>", WANT),
+        (f"<article><h1>Title</h1><p><a title=\"5\" wide\">{LONG}</a></p><p>Short.</p><p>{LONG}</article>", WANT),
+        (f"<article>{BODY}</article><section class=comments><p>{LONG[:70]}</p><p>I liked it.</p></section>", WANT),
+        (f"<main><nav>{MENU}</nav>{BODY}</main><aside><p>{LONG}</p></aside>", WANT),
+        (f"<body><header><p>{LONG}</p></header><article><header>By me</header>{BODY}</article><footer>{LONG}</footer>", ["By me", *WANT]),
+        (f"<body><div role=navigation>{MENU}</div><div>{BODY}</div><div class='cookie'>We use cookies.</div>", WANT),
+        (f"<article><h2>Links</h2><p>{LONG}</p><ul><li><a href=/a>One</a>, a note on it, long enough</li><li>two</li></ul></article>", ["Links", LONG.strip(), "One, a note on it, long enough", "two"]),
+        ("<article><h1>T</h1><p>One.</p></article><div class=ad>Buy it, or that, or both; now!</div>", ["T", "One."]),
+        (f"<body><form><p>{LONG}</p></form><p hidden>{LONG}</p><div>{BODY}</div>", WANT),
+        ("<p>1 < 2 and 3 > 2, he said.", ["1 < 2 and 3 > 2, he said."]),
+        (f"<article><dl><dt>Term<dd>{LONG}<dt>Other<dd>{LONG}</dl></article>", ["Term", LONG.strip(), "Other", LONG.strip()]),
+        ("<article><p>a&nbsp;b &lt;c&gt; &#233;&euro;</p><pre>x\n  y</pre></article>", ["a b <c> é€", "x y"]),
+    ],
+)
+def test_main_text_of_labelled_pages(page, want):
+    assert content(page).split("\n\n") == want
+
+
+def test_path_ratios_decide(monkeypatch):
+    from umbra.llm import html_extract
+
+    pages = [f"<body>{MENU}<div id=a>{BODY}</div><section id=b>Copyright, me.</section></body>", f"<div>{MENU}<div>{ADVERT}</div><div>{BODY}</div></div>", f"<table><tr><td>{MENU}<td>{BODY}<td>{ADVERT}</table>"]
+    real = [content(x) for x in pages]
+    assert real == ["\n\n".join(WANT)] * 3
+    monkeypatch.setattr(html_extract, "_scores", lambda page, found: {b.path: 1.0 for b in found})
+    assert all(content(x) != y for x, y in zip(pages, real, strict=True))
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>t", "<div>", "</x><div>", '<a x="', "<a x='>' ", "<script>", "<!--", "<x-a><p>t", "<ul><li><a>b", "< ", "<p><td><x-a><h1>q</h1>", "<div class='ad x'>t", "<a b=   ", "<textarea></textarea "])
+def test_main_text_and_plain_text_take_linear_time(part):
+    head, tail = "<body><p>Some text, first.</p>", "<p>Last, at the end."
+    for read in (content, warc.plain_text):
+        took = []
+        for n in (5_000, 40_000):
+            began = time.process_time()
+            read(head + part * n + tail)
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * max(took[0], 0.02), (read, took)
+
+
 def test_warc_round_trip():
     payload = "<html><head><title>A &amp; B</title></head><body><p>Text</p><script>no</script><a href='/x'>l</a></body></html>".encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload
