@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from umbra.llm import merge_dropout, token_counts
+from umbra.llm import common, merge_dropout, token_counts
 from umbra.llm.common import shared_dir
 from umbra.llm.components import connected_components
 from umbra.llm.exact_dedup import build_index, digests, drop_exact_copies, exact_dedup, update_index
@@ -156,6 +156,22 @@ def test_ids_other_than_whole_numbers_are_refused(spark):
             refuses(docs)
 
 
+@pytest.mark.parametrize("most", [1 << 28, 1 << 15, 64])
+def test_parting_by_ids_loses_and_doubles_nothing(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    monkeypatch.setattr(common, "_MAP", min(most, 32_768))
+    df = spark.range(-3000, 3000).selectExpr("id", "id AS bucket", "'x' AS bitmap").unionAll(spark.createDataFrame([(None, 1, "x")], "id long, bucket long, bitmap string"))
+    for ids in (set(), {5}, set(range(0, 3000, 7)), set(range(-3000, 3000))):
+        held = common.materialise(spark.createDataFrame([(i,) for i in ids], "id long"), "test")
+        maybe, no = common.split_by_ids(df, "id", held)
+        parts = [[r.id for r in x.collect()] for x in (maybe, no) if x is not None]
+        assert sorted(str(x) for p in parts for x in p) == sorted(str(r.id) for r in df.collect())
+        assert ids <= set(parts[0]) and (no is None) == (2 * len(ids) > max(min(most, 32_768), min(most, 1 << (16 * len(ids)).bit_length())))
+        assert no is None or len(parts[0]) <= len(ids) * 1.2 + 200 * (most < 1 << 20) * len(ids)
+        assert sorted(str(r.id) for r in common.without_ids(df, "id", held).collect()) == sorted(str(i) for i in [None, *range(-3000, 3000)] if i not in ids)
+        assert common.without_ids(df, "id", held).columns == df.columns
+
+
 def test_shared_folder_is_never_this_machine_on_a_cluster(spark):
     class Elsewhere:
         class sparkContext:  # noqa: N801

@@ -59,6 +59,41 @@ def discard(*held: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bits of the largest bitmap that split_by_ids broadcasts: 32 MB.
+MOST_BITS = 1 << 28
+_MAP = 32_768  # bits of one bitmap of Spark's
+
+
+def split_by_ids(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` parted in (rows whose ``key`` may be in ``ids``, rows whose key is not), so that a join on few ids needn't shuffle all texts.
+
+    ``ids`` is a small written table with the column ``key``. A bitmap of hashed
+    ids is broadcast; it has at least 16 bits an id, and its size is bounded by
+    MOST_BITS. Where the ids are too many for that, all rows are in the first
+    part, and there is no second. Whoever joins the first part with ``ids`` gets
+    the same rows either way. Null keys are in the second part.
+    """
+    n = ids.count()
+    bits = max(_MAP, min(MOST_BITS, 1 << (16 * n).bit_length()))
+    if 2 * n > bits:
+        return df, None
+    bucket, bitmap = fresh(df, "bucket", "bitmap")
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    maps = ids.where(F.col(key).isNotNull()).select(at.alias("at")).groupBy(F.expr(f"at div {_MAP}").alias(bucket)).agg(F.bitmap_construct_agg(F.col("at") % _MAP).alias(bitmap))
+    held = df.withColumn(bucket, F.floor(at / _MAP)).join(F.broadcast(maps), bucket, "left")
+    place = at % _MAP
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)) & F.col(key).isNotNull()
+    return held.where(hit).drop(bucket, bitmap), held.where(~hit).drop(bucket, bitmap)
+
+
+def without_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in ``ids`` (a small written table): see :func:`split_by_ids`."""
+    maybe, no = split_by_ids(df, key, ids)
+    left = maybe.join(ids, key, "left_anti").select(*df.columns)
+    return left if no is None else no.select(*df.columns).unionAll(left)
+
+
 def tasks_for(df: DataFrame, bytes_per_task: int = 64 << 20) -> int:
     """Partitions for a shuffle of about ``df``'s size, from the plan's own size estimate.
 

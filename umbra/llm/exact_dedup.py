@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import lower_az, materialise, whole_ids, with_row_id
+from umbra.llm.common import discard, lower_az, materialise, whole_ids, with_row_id, without_ids
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -264,5 +264,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     held, uid = with_row_id(docs, id_col)
     text = lower_az(F.coalesce(F.col(text_col), F.lit("")))
     rows = held.select(F.col(uid).alias("uid"), whole_ids(docs, id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
-    stay = build_index(rows).select(F.col("keep_uid").alias(uid))
-    return held.join(stay, uid, "left_semi").select(*docs.columns)
+    rows = materialise(rows, "digests")
+    gone = rows.select(F.col("uid").alias(uid)).join(build_index(rows).select(F.col("keep_uid").alias(uid)), uid, "left_anti")
+    gone = materialise(gone, "gone")
+    discard(rows)
+    return without_ids(held, uid, gone).select(*docs.columns)

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import discard, fresh, materialise, tasks_for, whole_ids, with_row_id
+from umbra.llm.common import discard, materialise, split_by_ids, tasks_for, whole_ids, with_row_id, without_ids
 from umbra.llm.components import connected_components
 
 MISS = 1e-7
@@ -270,7 +270,9 @@ def _components(sk: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     pivot_bits = bits.select(F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("bits").alias("pivot_bits"))
     stars = buckets.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("shared"))
     stars = materialise(stars.join(pivot_bits, "pivot").join(bits, "rep").where(sizes_fit(F.col("n"), F.col("pivot_n")) & fits(F.col("bits"), F.col("pivot_bits"))).select("rep", "pivot", "shared"), "stars")
-    texts = materialise(texts.join(wanted, "uid", "left_semi"), "candidates")
+    wanted = materialise(wanted, "wanted")
+    texts = materialise(split_by_ids(texts, "uid", wanted)[0].join(wanted, "uid", "left_semi"), "candidates")
+    discard(wanted)
     first = stars.groupBy("rep").agg(F.max(F.struct("shared", (-F.col("pivot")).alias("p"))).alias("x")).select("rep", (-F.col("x.p")).alias("pivot"))
     done = _compared(first, texts, k, percent, "first")
     label = _labels(reps, done.where("link"))
@@ -405,5 +407,5 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     whole_ids(docs, id_col)
     held, uid = with_row_id(docs, id_col)
-    gone = _grouped(held, uid, id_col, text_col, k, percent).where(~F.col("kept")).select(F.col("uid").alias(uid))
-    return held.join(gone, uid, "left_anti").select(*docs.columns)
+    gone = materialise(_grouped(held, uid, id_col, text_col, k, percent).where(~F.col("kept")).select(F.col("uid").alias(uid)), "gone")
+    return without_ids(held, uid, gone).select(*docs.columns)

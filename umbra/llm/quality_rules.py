@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import BLANKS, LOWER, UPPER, discard, fresh, materialise, whole_ids, with_row_id
+from umbra.llm.common import BLANKS, LOWER, UPPER, discard, fresh, materialise, split_by_ids, whole_ids, with_row_id
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -133,11 +133,15 @@ def keep_good_documents(
     stats = materialise(_stats(held.withColumn(doc, F.col(uid)), doc, text_col, host_col), "lines")
     judged = _judged(stats, min_docs, share, depleted, count_copies)
     touched = judged.where(~F.col("kept") | F.col("gone").isNotNull()).select(F.col("doc_id").alias(uid), F.col("kept").alias(kept), F.col("gone").alias(gone_lines))
-    left = held.join(materialise(touched, "touched"), uid, "left").where(F.coalesce(F.col(kept), F.lit(True)))
+    touched = materialise(touched, "touched")
     discard(stats)
+    maybe, no = split_by_ids(held, uid, touched)
+    left = maybe.join(touched, uid, "left").where(F.coalesce(F.col(kept), F.lit(True)))
     gone = F.col(gone_lines)
     rest = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(normal_line(x))))
     left = left.withColumn(text_col, F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n")))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(gone.isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
+    if no is not None:
+        left = no.select(*docs.columns).unionAll(left.select(*docs.columns))
     return left.select(*docs.columns)
