@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from umbra.functions import checks, text
-from umbra.operators import channels, context, ensemble, finders, quality, recognizers, resolve
-from umbra.operators.spans import entity, find_all, greedy_dedup
+from umbra.operators import channels, context, detectors, ensemble, finders, quality, recognizers, resolve
+from umbra.operators.spans import entity, find_all, greedy_dedup, safe
 from umbra.plans.pipeline import anonymize, detect, normalise
 from umbra.schema import ENTITIES
 from umbra.settings import Settings
@@ -168,3 +168,49 @@ def test_settings():
     assert not Settings.profile("rest").use_whitelist
     with pytest.raises(ValueError, match="unknown profile"):
         Settings.profile("x")
+
+
+def test_own_columns_stay_and_kapa_needs_no_id(spark):
+    df = spark.createDataFrame([("Frau Maria Huber, max@example.at", "mine", "also", {"anomaly_threshold": 0.97})], "text string, __own string, __regex string, settings_override map<string,double>")
+    d = detect(df).first()
+    assert (d["__own"], d["__regex"]) == ("mine", "also") and {e.entity_group for e in d.entities} == {"PER", "EMAIL"}
+    k = anonymize(df, "kapa").first()
+    assert k.document_id and "max@example.at" not in k.output and k["__own"] == "mine"
+    # A row's own threshold goes before the settings; missing ones change nothing.
+    none = df.withColumn("settings_override", F.lit(None).cast("map<string,double>"))
+    assert anonymize(none, overrides="settings_override").first().output == anonymize(df).first().output
+    high = df.withColumn("settings_override", F.create_map(F.lit("anomaly_threshold"), F.lit(1.0)))
+    assert anonymize(high, overrides="settings_override").first().output == df.first().text
+
+
+def test_marks_of_the_text_hide_nothing(spark):
+    raw = "x \ufdd0 a@b.at y \ufdd1 \ue000 c@d.at"
+    found = spark.createDataFrame([(raw,)], "text string").select(finders.emails(safe(F.col("text"))).alias("e")).first().e
+    assert [(e.start, e.end, e.word) for e in found] == [(raw.index("a@"), raw.index("a@") + 6, "a@b.at"), (raw.index("c@"), raw.index("c@") + 6, "c@d.at")]
+    out = anonymize(spark.createDataFrame([(raw,)], "text string")).first().output
+    assert "@" not in out and "\ue000" in out
+
+
+def test_stable_characters_are_left_alone_by_nfkc():
+    import re
+    import unicodedata
+
+    stable = re.compile(f"[{text.STABLE}]")
+    seconds = {int(d[1], 16) for c in range(0x11_0000) if len(d := unicodedata.decomposition(chr(c)).split()) == 2 and not d[0].startswith("<")}
+    for c in range(0x11_0000):
+        if stable.match(chr(c)) and not 0xD800 <= c < 0xE000:
+            assert unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c)) and c not in seconds, hex(c)
+    assert all(stable.match(c) for c in "äöüÄÖÜß„“”–€§éàçñ") and not any(stable.match(c) for c in "ﬁ²½ ́Ａ…")
+
+
+def test_model_detectors(spark):
+    said = lambda *rows: lambda t: F.array(*(F.struct(*(F.lit(v).alias(f) for f, v in zip(("word", "entity_group", "score", "start", "end"), r, strict=True))) for r in rows)).cast(detectors.MODEL_OUTPUT)
+    df = spark.createDataFrame([("Die Nimbus Bank schrieb Karla.",)], "text string")
+    found = lambda **models: [(e.word, e.entity_group, e.start, e.end, e.source) for e in df.select(F.concat(*(d(F.col("text")) for d in detectors.model_detectors(**models))).alias("e")).first().e]
+    assert found(pii=said(("▁Karla", "I-PER", 0.9, None, None), ("Kar", "PER", 0.9, 24, 27), ("x", "PER", 0.99, None, None), ("Nimbus", "PER", 0.1, 4, 10))) == [("▁Karla", "PER", 24, 29, "pii"), ("Karla", "PER", 24, 29, "pii")]
+    assert found(org=said(("Die Nimbus", "B-ORG", 0.9, 0, 10), ("Bank", "MISC", 0.9, 11, 15))) == [("Nimbus", "ORG", 4, 10, "org")]
+    assert found(zero_shot=said(("Nimbus Bank", "company name", 0.5, 4, 15), ("Karla", "pet", 0.39, 24, 29))) == [("Nimbus Bank", "ORG", 4, 15, "gliner")]
+    assert found(zero_shot=lambda t: F.lit(None).cast(detectors.MODEL_OUTPUT)) == []
+    assert detectors.model_detectors(Settings(use_gliner=False), zero_shot=said()) == []
+    d = detect(df, detectors=detectors.model_detectors(org=said(("Nimbus Bank", "ORG", 0.9, 4, 15)))).first()
+    assert ("Nimbus Bank", "ORG", "org") in [(e.word, e.entity_group, e.source) for e in d.entities]

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from umbra.functions import lexicons as L
 
-#: Marks that find_all puts around matches; taken out of every text first.
-MARKS = "\ue000\ue001\ue002"
+#: Marks that find_all puts around matches: noncharacters, which Unicode keeps for a program's own use. Taken out of every text first.
+MARKS = "\ufdd0\ufdd1\ufdd2"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -41,9 +41,13 @@ def _nfkc(text: Column) -> Column:
     return F.pandas_udf(nfkc, "string")(text)
 
 
+#: Characters that NFKC leaves as they are, whatever stands beside them: ASCII, Latin letters with marks, usual punctuation.
+STABLE = "\x00-\x7f\u00a1-\u00a7\u00a9\u00ab\u00ac\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u2010\u2012-\u2016\u2018-\u2023\u2030-\u2032\u2039-\u203b\u20a0-\u20a7\u20a9-\u20c0"
+
+
 def normalize_unicode(text: Column) -> Column:
-    """NFKC; Spark has no such function. Texts of ASCII alone don't change, so only others count."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+    """NFKC; Spark has no such function. Texts of STABLE characters alone, as German ones usually are, don't change and stay in the JVM."""
+    return F.when(text.rlike(f"[^{STABLE}]"), _nfkc(text)).otherwise(text)
 
 
 def replace_homoglyphs(text: Column) -> Column:
@@ -53,7 +57,7 @@ def replace_homoglyphs(text: Column) -> Column:
 def normalize_leetspeak_in_names(text: Column) -> Column:
     """Digits and signs read as letters in the word after a title."""
     pattern = r"(?U)((?:Herr|Herrn|Frau|Dr\.|Mag\.|Prof\.|Ing\.|DI|DKFM)\s+)([A-Za-zÄÖÜäöüß0-9@$]{2,30})"
-    parts = F.split(F.regexp_replace(text, pattern, "$1\ue000$2\ue000"), "\ue000", -1)
+    parts = F.split(F.regexp_replace(text, pattern, "$1\ufdd0$2\ufdd0"), "\ufdd0", -1)
     folded = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.translate(p, L.LEET, L.LEET_AS)).otherwise(p)), "")
     return F.when(text.rlike(pattern), folded).otherwise(text)
 
@@ -101,6 +105,11 @@ def clean_entity(word: Column, text: Column, start: Column, end: Column) -> Colu
     return F.struct(final.alias("word"), (s + lead).alias("start"), (e - (F.length(rest) - F.length(final))).alias("end"))
 
 
+def phonetic_equal(a: Column, b: Column) -> Column:
+    """Whether two words sound alike; words without letters sound like nothing."""
+    return (cologne(a) != "") & (cologne(a) == cologne(b))
+
+
 def cologne(word: Column) -> Column:
     """Cologne phonetic code; empty without letters. A code depends on a letter and its two neighbours alone."""
     letters = F.regexp_replace(F.translate(F.upper(word), "ÄÖÜ", "AOU"), "[^A-Z]", "")

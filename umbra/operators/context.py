@@ -78,7 +78,7 @@ def company_candidates(text: Column, existing: Column) -> Column:
     """Spans that stand where company names do, with the masked surroundings a scorer needs."""
     found = []
     for before, name, after, description in COMPANY_CONTEXTS:
-        marked = f"$1$2{'$3' if after else ''}"
+        marked = f"$1\ufdd0$2\ufdd1{'$3' if after else ''}"
         spans = find_all(text, f"(?iuU)({before})({name}){f'({after})' if after else ''}", marked)
         found.append(_described(spans, description))
     usual = list(L.NORMAL_CONTEXT_WORDS)

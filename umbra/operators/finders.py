@@ -36,7 +36,7 @@ _HOUSE = r"\s+\d{1,4}[a-z]?(?:\s?/\s?\d{1,4})*"
 STREET_IN_WORD = rf"(?U)\b[{_UP}][{_LOW}]*(?:{'|'.join(_STREETS)}){_HOUSE}"
 STREET_AS_WORD = rf"(?U)\b(?:[{_UP}][{_LOW}]+(?:-[{_UP}{_LOW}]+)*[\s-]){{1,3}}(?:{'|'.join(s[0].upper() + s[1:] for s in _STREETS)}){_HOUSE}"
 TOWN = rf"(?Umd)((?:^|[,\n]\s*))(\d{{4}}\s+[{_UP}][{_LOW}]+(?:\s+(?:am|an|im|bei|ob|unter|in)\s+[{_LOW}]+(?:\s+[{_UP}][{_LOW}]+)?)?)"
-_GROUP_2 = "$1\ue000$2\ue001"
+_GROUP_2 = "$1\ufdd0$2\ufdd1"
 
 
 def emails(text: Column) -> Column:
@@ -102,9 +102,9 @@ def phones(text: Column) -> Column:
 
 def _after_context(text: Column, context: str, number: str, group: str) -> Column:
     """Numbers right behind a context match. Contexts are matched first and by themselves, so what they consume can't be undone."""
-    marked = F.regexp_replace(text, context, "$0\ue002")
-    found = F.regexp_replace(marked, rf"(?U)\ue002({number})\b", "\ue000$1\ue001")
-    parts = F.split(F.translate(found, "\ue002", ""), "[\ue000\ue001]", -1)
+    marked = F.regexp_replace(text, context, "$0\ufdd2")
+    found = F.regexp_replace(marked, rf"(?U)\ufdd2({number})\b", "\ufdd0$1\ufdd1")
+    parts = F.split(F.translate(found, "\ufdd2", ""), "[\ufdd0\ufdd1]", -1)
     return as_entities(F.when(text.rlike(context), split_spans(parts)).otherwise(no_spans()), group, 0.85)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions import lexicons as L
@@ -52,3 +52,16 @@ def resolve_entities(entities: Column) -> Column:
         )
 
     return let(every, lambda keyed: let(names_of(keyed), lambda names: F.transform(keyed, lambda k: link(k, names))))
+
+
+def phonetic_names(spark: SparkSession, names: tuple[str, ...] = L.LAST_NAMES) -> DataFrame:
+    """(code, name): the index of names (lower-cased) by how they sound."""
+    df = spark.createDataFrame([(n.lower(),) for n in names], "name string").distinct()
+    return df.select(cologne(F.col("name")).alias("code"), "name").where("code <> ''")
+
+
+def names_by_sound(words: DataFrame, word: str = "word", names: tuple[str, ...] = L.LAST_NAMES) -> DataFrame:
+    """``words`` with a column name: a row for every name that sounds like the word; words that sound like none are left out."""
+    coded = words.withColumn("__code", cologne(F.col(word)))
+    # The names are a fixed list of the library's, so they are safe to broadcast.
+    return coded.join(F.broadcast(phonetic_names(words.sparkSession, names)), F.col("__code") == F.col("code")).drop("__code", "code")

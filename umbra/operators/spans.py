@@ -19,6 +19,11 @@ def without_marks(text: Column) -> Column:
     return F.translate(text, MARKS, "")
 
 
+def safe(text: Column) -> Column:
+    """``text`` for finders that read it raw: marks of its own become U+FFFD, so that offsets stay and no match is missed."""
+    return F.when(text.rlike(f"[{MARKS}]"), F.translate(text, MARKS, "\ufffd" * len(MARKS))).otherwise(text)
+
+
 def no_spans() -> Column:
     return F.array().cast(SPANS)
 
@@ -27,12 +32,13 @@ def no_entities() -> Column:
     return F.array().cast(ENTITIES)
 
 
-def find_all(text: Column, pattern: Column | str, marked: str = "\ue000$0\ue001", guard: Column | None = None) -> Column:
+def find_all(text: Column, pattern: Column | str, marked: str = "\ufdd0$0\ufdd1", guard: Column | None = None) -> Column:
     """Leftmost matches that don't overlap, as spans. ``marked``: the replacement that sets the marks.
 
     Texts without a match (or for which ``guard`` is false) are not taken apart.
+    ``text`` holds none of the marks: it is normalised or :func:`safe`.
     """
-    parts = F.split(F.regexp_replace(text, pattern, marked), "[\ue000\ue001]", -1)
+    parts = F.split(F.regexp_replace(text, pattern, marked), "[\ufdd0\ufdd1]", -1)
     return F.when(text.rlike(pattern) if isinstance(pattern, str) and guard is None else guard, split_spans(parts)).otherwise(no_spans())
 
 

@@ -166,6 +166,35 @@ _MARKS = ("[PERSON_1]", "[PRÜFEN:ORT_2]", "[GESCHWÄRZT:IBAN]", "[x]", "[AUSTRI
 _TITLES = ("Dr. ", "Frau Mag. ", "", "der ", "Herr DI ")
 
 
+#: (number, group, valid value, wrong value, context, score without context or NULL, score with it), worked out by hand.
+_VALUES = """(0, 'SVN', '1237 010180', '1234 151587', 'SVNR', 0.85, 1.0), (1, 'IBAN', 'AT61 1904 3002 3457 3201', 'AT00 0000 0000 0000 0000', 'Konto', 0.9, 1.0),
+(2, 'KFZ', 'GU-1234A', 'QQ-1234A', 'Kennzeichen', 0.85, 1.0), (3, 'FIRMENBUCH', 'FN 12345a', 'FN 1234567a', 'Firmenbuch', 0.9, 1.0), (4, 'REISEPASS', 'P1234567', 'P123456', 'Reisepass', 0.5, 0.7),
+(5, 'UID', 'ATU13585627', 'ATU12345678', 'UID', 0.9, 1.0), (6, 'BIC', 'GIBAATWWXXX', 'ZZZZZZ99', 'Bankleitzahl', 0.55, 0.9), (7, 'HEALTH_DIAGNOSIS', 'F32.1', 'U07.1', 'Diagnose', NULL, 0.9),
+(8, 'FUEHRERSCHEIN', '12345678', '1234567', 'Führerschein', NULL, 0.85), (9, 'ZMR', '123 456 789 012', '123 456 789 01', 'Melderegister', NULL, 0.9), (10, 'GERICHTSAKTENZAHL', '3 Ob 12/24', '3 Xy 12/24', 'Urteil', 0.9, 1.0)"""
+_CODES = _COLOGNE[_COLOGNE.index("d AS (") : _COLOGNE.index("SELECT w.doc_id")]
+_MORE = {
+    "long_date_spans": """WITH t AS (SELECT c_custkey AS doc_id, c_custkey % 33 AS d, ['Januar', 'Februar', 'März', 'Maerz', 'April', 'Mai', 'Juni', 'Juli', 'August', 'September', 'Oktober', 'November', 'Dezember', NULL][(c_custkey % 14 + 1)::INT] AS m, c_custkey * 7 % 300 + 1850 AS y FROM customer)
+SELECT doc_id, 15::INTEGER AS start, (15 + length(word))::INTEGER AS "end", word FROM (SELECT doc_id, d || '. ' || m || ' ' || y AS word FROM t WHERE d BETWEEN 1 AND 31 AND m IS NOT NULL AND y BETWEEN 1900 AND 2099)""",
+    "labeled_name_spans": f"""WITH t AS (SELECT c_custkey AS doc_id, (['Verfasserin: ', 'Protokollführer:  ', 'Kontakt:', NULL, NULL, 'Erstellt von: '])[(c_custkey % 6 + 1)::INT] AS lead, {_person('c_custkey')} AS word FROM customer WHERE c_custkey % 5 <> 0)
+SELECT doc_id, (7 + length(lead))::INTEGER AS start, (7 + length(lead) + length(word))::INTEGER AS "end", word FROM t WHERE lead IS NOT NULL""",
+    "recognizer_values": f"""WITH v(i, g, valid, wrong, about, bare, near) AS (VALUES {_VALUES}),
+t AS (SELECT c_custkey AS doc_id, v.*, CASE c_custkey % 3 WHEN 0 THEN length(about) + 2 WHEN 1 THEN 6 ELSE length(about) + 62 END AS pos, CASE c_custkey % 3 WHEN 0 THEN near ELSE bare END AS score FROM customer JOIN v ON c_custkey % 11 = i WHERE c_custkey % 7 <> 0)
+SELECT doc_id, g AS entity_group, pos::INTEGER AS start, (pos + length(valid))::INTEGER AS "end", valid AS word, score::DOUBLE AS score FROM t WHERE score IS NOT NULL""",
+    "model_detector_rules": """WITH t AS (SELECT c_custkey AS k, c_custkey % 10 / 10 AS s, 'Kunde' || c_custkey AS w, (18 + length(c_custkey::VARCHAR))::INTEGER AS z FROM customer)
+SELECT k AS doc_id, chr(9601) || w AS word, 'PER' AS entity_group, s::DOUBLE AS score, 13::INTEGER AS start, z AS "end", 'pii' AS source FROM t WHERE s >= 0.7::DOUBLE
+UNION ALL SELECT k, w, 'EMAIL', 0.9, 13, z, 'pii' FROM t
+UNION ALL SELECT k, 'Wien', 'LOC', 1 - s, z + 11, z + 15, 'org' FROM t WHERE 1 - s >= 0.7::DOUBLE
+UNION ALL SELECT k, w, 'PER', 0.5, 13, 20, 'gliner' FROM t
+UNION ALL SELECT k, 'wohnt', 'HOBBY', s, 0, 0, 'gliner' FROM t WHERE s >= 0.4::DOUBLE""",
+    "mask_rank_anomaly": "SELECT c_custkey AS doc_id, ([0.0, 0.25, 1.0, 0.75, 0.5])[(c_custkey % 5 + 1)::INT]::DOUBLE AS anomaly FROM customer",
+    "names_by_sound": f"""WITH spelt AS (SELECT c_custkey AS doc_id, replace(replace(translate({_pick(L.LAST_NAMES, 'c_custkey')}, 'dbgckvwf', 'tpkkcfvv'), 'ai', 'ey'), 'l', 'll') AS word FROM customer),
+names AS (SELECT DISTINCT unnest({_list([n.lower() for n in L.LAST_NAMES])}) AS name),
+w AS (SELECT word FROM spelt UNION ALL SELECT name FROM names), {_CODES.rstrip()},
+coded AS (SELECT word, array_to_string(parts, '') AS code FROM short)
+SELECT s.doc_id, s.word, n.name FROM spelt s JOIN coded a ON a.word = s.word JOIN coded b ON b.code = a.code AND b.code <> '' JOIN names n ON n.name = b.word""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     changed = lambda col, at: f"CASE WHEN k % 3 = 0 THEN substr({col}, 1, {at}) || ((substr({col}, {at + 1}, 1)::INT + 1) % 10)::VARCHAR ELSE {col} END"
     expected = lambda per, gz, mail, svn, iban, kfz, born: f"""CASE doc_id % 4 WHEN 0 THEN 'Sehr geehrte Frau {per}, Ihre Anfrage zu {gz} ist eingelangt. Kontakt: {mail}.' WHEN 1 THEN 'Herr {per} gab die SVNR {svn} und den IBAN {iban} bekannt.'
@@ -262,4 +291,4 @@ s AS (SELECT p.source AS layer, coalesce(tp, 0)::BIGINT AS tp, (n - coalesce(tp,
         "audit_flagged": f"WITH {_LOG} SELECT entity_group, count(*) AS n FROM log WHERE value > 5 GROUP BY 1",
         "mapping_upsert": "WITH r AS (SELECT user_id AS doc_id, hour(ts)::INTEGER AS version, '[' || upper(event_type) || '_' || (event_id % 5) || ']' AS placeholder, event_id::VARCHAR AS original FROM events) SELECT doc_id, version, placeholder, original FROM r QUALIFY version = max(version) OVER (PARTITION BY doc_id)",
         "entity_metrics_histogram": f"WITH {_LINES} SELECT 'ifg' AS channel, g AS category, source AS layer, greatest(0.1, ceil(round(score, 9) * 10) / 10)::DOUBLE AS le, count(*) AS n FROM sp GROUP BY ALL",
-    }
+    } | _MORE

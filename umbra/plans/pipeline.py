@@ -46,8 +46,13 @@ def _kept_apart(value: Column) -> Column:
 
 
 def detect(df: DataFrame, text: str = "text", settings: Settings | None = None, detectors: Sequence[Detector] = (), recognizers: Sequence | None = None, scorer: Scorer | None = None) -> DataFrame:
-    """``df`` with norm_text and entities (sorted, disjoint but for context entities that touch none)."""
+    """``df`` with norm_text and entities (sorted, disjoint but for context entities that touch none).
+
+    Columns of these two names are replaced; others stay, whatever they are called.
+    """
     settings = settings or Settings()
+    own, df = df.columns, df.withColumnsRenamed({c: f"own {c}" for c in df.columns if c.startswith("__")})
+    text = f"own {text}" if text.startswith("__") else text
     df = df.withColumn("norm_text", normalise(F.col(text), settings))
     norm = F.col("norm_text")
     found = []
@@ -72,10 +77,26 @@ def detect(df: DataFrame, text: str = "text", settings: Settings | None = None,
         df = df.withColumn("__quasi", quasi_identifiers(norm, F.col("__merged"), settings))
         df = df.withColumn("__merged", F.concat("__merged", "__quasi"))
     df = df.withColumn("entities", _kept_apart(sorted_by_start(F.col("__merged"))))
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
+    return df.drop(*[c for c in df.columns if c.startswith("__")]).withColumnsRenamed({f"own {c}": c for c in own if c.startswith("__")})
+
+
+def overridden(settings: Settings, overrides: str) -> Settings:
+    """``settings`` whose thresholds each row may override: ``overrides`` names a map column from threshold to value."""
+    fields = ("presidio_threshold", "pii_threshold", "org_threshold", "gliner_threshold", "anomaly_threshold", "perplexity_threshold", "kapa_review_threshold")
+    return settings.replace(**{f: F.coalesce(F.col(overrides)[f], F.lit(getattr(settings, f))) for f in fields})
 
 
-def anonymize(df: DataFrame, channel: str = "govgpt", text: str = "text", settings: Settings | None = None, **plugins) -> DataFrame:
-    """Detect and apply a channel. ``df`` keeps its other columns; the redacted text is ``output``."""
+def anonymize(df: DataFrame, channel: str = "govgpt", text: str = "text", settings: Settings | None = None, overrides: str | None = None, **plugins) -> DataFrame:
+    """Detect and apply a channel. ``df`` keeps its other columns; the redacted text is ``output``.
+
+    ``overrides``: a map column of thresholds by name that go before ``settings``
+    for the row (as requests carry them); null and missing ones change nothing.
+    """
+    settings = settings or Settings()
     apply = channel_of(channel)
-    return apply(detect(df, text, settings, **plugins), settings)
+    if overrides is not None:
+        settings = overridden(settings, overrides)
+    found = detect(df, text, settings, **plugins)
+    if channel == "kapa" and "doc_id" not in found.columns:
+        return apply(found, settings, document_id=None)
+    return apply(found, settings)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from umbra.functions import checks, text
 from umbra.functions import lexicons as L
-from umbra.operators import channels, context, ensemble, evaluate, finders, quality, recognizers, resolve
-from umbra.operators.spans import entity, find_all, greedy_dedup, overlap
+from umbra.operators import channels, context, detectors, ensemble, evaluate, finders, quality, recognizers, resolve
+from umbra.operators.spans import entity, find_all, greedy_dedup, overlap, safe
 from umbra.plans.pipeline import anonymize, detect, normalise
 from umbra.schema import ENTITIES
 from umbra.settings import Settings
@@ -143,12 +143,12 @@ def cologne_phonetic(spark, sf_dir):
 
 @query
 def email_spans(spark, sf_dir):
-    return spans_of(table(spark, sf_dir, "documents"), finders.emails(F.col("text")))
+    return spans_of(table(spark, sf_dir, "documents"), finders.emails(safe(F.col("text"))))
 
 
 @query
 def phone_spans(spark, sf_dir):
-    return spans_of(table(spark, sf_dir, "documents"), finders.phones(F.col("text")))
+    return spans_of(table(spark, sf_dir, "documents"), finders.phones(safe(F.col("text"))))
 
 
 def _corpus_finder(name: str, find):
@@ -200,6 +200,92 @@ def context_numbers(spark, sf_dir):
     return spans_of(df, F.concat(finders.passports(F.col("text")), finders.id_cards(F.col("text"))))
 
 
+@query
+def long_date_spans(spark, sf_dir):
+    """Dates with the month's name; days and months that don't exist, and years out of range, are none."""
+    k = F.col("c_custkey")
+    month = F.get(F.array(*map(F.lit, (*finders.MONTHS.split("|"), "Brumaire"))), (k % 14).cast("int"))
+    df = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.concat(F.lit("Bescheid, Wien "), (k % 33).cast("string"), F.lit(". "), month, F.lit(" "), (k * 7 % 300 + 1850).cast("string"), F.lit(" (Kopie)")).alias("text"))
+    return spans_of(df, finders.long_dates(F.col("text")))
+
+
+@query
+def labeled_name_spans(spark, sf_dir):
+    """Names behind a role and a colon; without the colon, or in small letters, none."""
+    k = F.col("c_custkey")
+    lead = F.get(F.array(*map(F.lit, ("Verfasserin: ", "Protokollführer:  ", "Kontakt:", "Autor ", "Leser: ", "Erstellt von: "))), (k % 6).cast("int"))
+    name = F.when(k % 5 == 0, F.lower(docs.person(k))).otherwise(docs.person(k))
+    df = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.concat(F.lit("Akt 7. "), lead, name, F.lit(", am Amt")).alias("text"))
+    return spans_of(df, finders.labeled_names(F.col("text")))
+
+
+#: (recognizer, a valid value, a value that is none, words of its context)
+RECOGNIZED = (
+    (recognizers.SVNR, "1237 010180", "1234 151587", "SVNR"),
+    (recognizers.IBAN, "AT61 1904 3002 3457 3201", "AT00 0000 0000 0000 0000", "Konto"),
+    (recognizers.PLATE, "GU-1234A", "QQ-1234A", "Kennzeichen"),
+    (recognizers.COMPANY_NUMBER, "FN 12345a", "FN 1234567a", "Firmenbuch"),
+    (recognizers.PASSPORT, "P1234567", "P123456", "Reisepass"),
+    (recognizers.UID, "ATU13585627", "ATU12345678", "UID"),
+    (recognizers.BIC, "GIBAATWWXXX", "ZZZZZZ99", "Bankleitzahl"),
+    (recognizers.ICD10, "F32.1", "U07.1", "Diagnose"),
+    (recognizers.DRIVING_LICENCE, "12345678", "1234567", "Führerschein"),
+    (recognizers.RESIDENTS_NUMBER, "123 456 789 012", "123 456 789 01", "Melderegister"),
+    (recognizers.COURT_NUMBER, "3 Ob 12/24", "3 Xy 12/24", "Urteil"),
+)
+
+
+@query
+def recognizer_values(spark, sf_dir):
+    """Each recognizer on a valid value near its context, far from it and without, and on a value that is none."""
+    k = F.col("c_custkey")
+    df = table(spark, sf_dir, "customer").select(k.alias("doc_id"))
+    out = None
+    for i, (of, valid, wrong, about) in enumerate(RECOGNIZED):
+        text = F.concat(F.when(F.col("doc_id") % 3 == 0, f"{about}: ").when(F.col("doc_id") % 3 == 1, "Wert: ").otherwise(f"{about} {'x' * 60} "), F.when(F.col("doc_id") % 7 == 0, wrong).otherwise(valid), F.lit(" folgt"))
+        own = df.where(F.col("doc_id") % len(RECOGNIZED) == i).select("doc_id", text.alias("text"))
+        own = own.select("doc_id", F.explode(of.find(F.col("text"))).alias("e"))
+        out = own if out is None else out.unionAll(own)
+    return out.select("doc_id", "e.entity_group", "e.start", "e.end", "e.word", F.round("e.score", 6).alias("score"))
+
+
+@query
+def model_detector_rules(spark, sf_dir):
+    """The rules around models, with stubs for these: offsets looked up, labels mapped, words cleaned, thresholds and the blacklist."""
+    k = F.col("c_custkey")
+    df = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.concat(F.lit("Bericht: der Kunde"), k.cast("string"), F.lit(", wohnt in Wien; Termin.")).alias("text"))
+
+    def said(*rows):
+        fields = ("word", "entity_group", "score", "start", "end")
+        return lambda text: F.array(*(F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(f) for f, v in zip(fields, r, strict=True))) for r in rows)).cast(detectors.MODEL_OUTPUT)
+
+    score, whole = F.col("doc_id") % 10 / 10, F.concat(F.lit("Kunde"), F.col("doc_id").cast("string"))
+    pii = said((F.concat(F.lit("\u2581"), whole), "B-PER", score, None, None), ("der Kunde", "USERNAME", 0.9, 9, 18), ("fehlt", "PER", 0.9, None, None), ("Termin", "PER", 0.95, None, None))
+    org = said(("Wien", "I-LOC", 1 - score, None, None), ("Bericht", "B-MISC", 0.99, 0, 7))
+    asked = said((whole, "person name", 0.5, 13, 20), ("wohnt", "hobby", score, 0, 0), ("Termin", "date of birth", 0.9, 0, 6))
+    found = F.concat(*(d(F.col("text")) for d in detectors.model_detectors(Settings(), pii, org, asked)))
+    e = df.select("doc_id", F.explode(found).alias("e"))
+    return e.select("doc_id", "e.word", "e.entity_group", "e.score", "e.start", "e.end", "e.source")
+
+
+@query
+def mask_rank_anomaly(spark, sf_dir):
+    k = F.col("c_custkey")
+    tokens = F.array(F.lit(" Wien"), F.lit("Graz "), F.lit("linz"), F.lit("Amt"))
+    word = F.get(F.array(*map(F.lit, ("WIEN", "Graz Umgebung", "Steyr", "amt", "Linz"))), (k % 5).cast("int"))
+    return table(spark, sf_dir, "customer").select(k.alias("doc_id"), detectors.rank_anomaly(tokens, word).alias("anomaly"))
+
+
+@query
+def names_by_sound(spark, sf_dir):
+    """Last names found by how a variant of one sounds."""
+    k = F.col("c_custkey")
+    last = F.get(F.array(*map(F.lit, L.LAST_NAMES)), (k % len(L.LAST_NAMES)).cast("int"))
+    spelt = F.replace(F.replace(F.translate(last, "dbgckvwf", "tpkkcfvv"), F.lit("ai"), F.lit("ey")), F.lit("l"), F.lit("ll"))
+    df = table(spark, sf_dir, "customer").select(k.alias("doc_id"), spelt.alias("word"))
+    return resolve.names_by_sound(df)
+
+
 @query
 def regex_layer(spark, sf_dir):
     """All finders in order of priority, overlaps resolved."""
@@ -216,7 +302,7 @@ def recognizer_layer(spark, sf_dir):
 @query
 def name_lexicon_hits(spark, sf_dir):
     """Dictionary names in documents, in any case."""
-    return spans_of(table(spark, sf_dir, "documents"), recognizers.NAME.find(F.col("text"))).groupBy(F.lower("word").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    return spans_of(table(spark, sf_dir, "documents"), recognizers.NAME.find(safe(F.col("text")))).groupBy(F.lower("word").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 @query
