@@ -6,9 +6,11 @@ and the word's position, falls below the dropout rate; no random state is kept,
 so a text's segmentation depends on seed, row and rate alone, not on partitions,
 retries or order. Every occurrence of every word draws anew for each candidate.
 
-Workers keep how the agenda of a word goes (which candidates come up as long as
-none is skipped, and how it goes on from each skip that was met), not what an
-occurrence drew; the draws of all words of a text are made at once.
+As a draw depends on the candidate alone, it is made when the candidate enters
+the agenda, and one that is skipped never enters. The agendas of many words (of
+all texts of a batch) are worked on at once, as the rows of a table of symbols:
+each step takes the head of every agenda that isn't empty. Nothing is kept from
+one word to the next, so memory is that of a batch.
 
 Decoding joins pieces and gives back the very text for any seed and rate.
 """
@@ -17,7 +19,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import sys
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,14 +33,13 @@ from umbra.llm.common import whole_ids
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Agendas (without dropout: segmentations) a worker keeps in each of two generations, and the longest word it keeps.
-KEEP, KEEP_LENGTH = 300_000, 40
-#: Words whose draws are made at once.
-AT_ONCE = 1 << 16
+#: Words whose agendas are worked on at once, and characters of the texts they are taken from.
+AT_ONCE, CHARACTERS = 1 << 14, 1 << 20
 #: No piece joins another character to a following space mark, so words can be taken one by one.
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words up to so many characters have their agenda scanned.
+#: Words up to so many characters have rows in a table, those of like lengths in one; longer ones have a heap.
 SHORT = 48
+LENGTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, SHORT)
 NEVER, UNKNOWN = 1 << 30, (1 << 20) - 1
 _M = (1 << 64) - 1
 
@@ -86,6 +86,87 @@ class Codec:
                     self.merges[a << 20 | b] = rank[i]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("a piece holds a space mark after another character")
+        self.of_char = np.full(0x11_0000, UNKNOWN, np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.of_char[ord(piece)] = i
+        self.of_rank = np.array(ranked, np.int32)
+        # The merges as a hash table with linear probing; 0 is no merge (ids of pieces are larger).
+        self.bits = max(4, (8 * len(self.merges)).bit_length())
+        self.slots, self.ranks = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, NEVER, np.int32)
+        keys = np.fromiter(self.merges, np.uint64, len(self.merges))
+        for at, key, r in zip(self._slot(keys).tolist(), self.merges, self.merges.values(), strict=True):
+            while self.slots[at]:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.slots[at], self.ranks[at] = key, r
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of symbols ``a`` with ``b``; NEVER if there is none."""
+        keys = (a.astype(np.uint64) << np.uint64(20)) | b.astype(np.uint64)
+        at = self._slot(keys)
+        held = self.slots[at]
+        out = np.where(held == keys, self.ranks[at], NEVER)
+        left = np.flatnonzero((held != keys) & (held != 0))
+        while left.size:
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            held = self.slots[at[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.ranks[at[left[hit]]]
+            left = left[~hit & (held != 0)]
+        return out
+
+    def table(self, symbols: np.ndarray, lengths: np.ndarray, bases: np.ndarray, bar: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Agendas of many words at once: (symbols left, ends of their pieces, their number) of every row.
+
+        ``symbols`` has a word a row, ``lengths`` symbols each. Candidates whose
+        hash under the word's base falls below ``bar`` are left out.
+        """
+        rows, width = symbols.shape
+        out, out_ends, out_n = symbols.copy(), np.empty((rows, width), np.int32), lengths.copy()
+        sym, n, of = symbols.copy(), lengths.copy(), np.arange(rows)
+        ends = np.tile(np.arange(1, width + 1, dtype=np.int32), (rows, 1))
+        rank = np.full((rows, width), NEVER, np.int32)
+        column = np.arange(width - 1, dtype=np.int64)[None, :]
+
+        def offer(r, i, starts, stops) -> None:
+            found = self._ranked(sym[r, i], sym[r, i + 1])
+            if bar:
+                some = np.flatnonzero(found != NEVER)
+                spans = (starts[some].astype(np.uint64) << np.uint64(32)) | stops[some].astype(np.uint64)
+                found[some[_below(bases[r[some]], spans, bar)]] = NEVER
+            rank[r, i] = found
+
+        r, i = np.nonzero(np.arange(1, width)[None, :] < n[:, None])
+        offer(r, i, i, i + 2)
+        while True:
+            i = rank.argmin(axis=1)
+            best = rank[np.arange(len(i)), i]
+            done = best == NEVER
+            if done.any():
+                out[of[done]], out_ends[of[done]], out_n[of[done]] = sym[done], ends[done], n[done]
+                live = ~done
+                sym, ends, rank, n, of, bases, i, best = (x[live] for x in (sym, ends, rank, n, of, bases, i, best))
+                if not len(i):
+                    return out, out_ends, out_n
+            r, at = np.arange(len(i)), i[:, None]
+            # What stands behind the merged pair moves up by one.
+            behind = column > at
+            sym[:, :-1] = np.where(behind, sym[:, 1:], sym[:, :-1])
+            rank[:, :-1] = np.where(behind, rank[:, 1:], rank[:, :-1])
+            ends[:, :-1] = np.where(behind | (column == at), ends[:, 1:], ends[:, :-1])
+            rank[:, -1] = NEVER
+            sym[r, i] = self.of_rank[best]
+            rank[r, i] = NEVER
+            n -= 1
+            before = np.where(i > 0, ends[r, i - 1], 0)
+            right = np.flatnonzero(i + 1 < n)
+            offer(right, i[right], before[right], ends[right, i[right] + 1])
+            left = np.flatnonzero(i > 0)
+            offer(left, i[left] - 1, np.where(i[left] > 1, ends[left, i[left] - 2], 0), ends[left, i[left]])
 
     def word(self, word: str, bar: int, base: int) -> array:
         """Ids of one word. A candidate merge is skipped if its hash under ``base`` falls below ``bar``."""
@@ -103,11 +184,7 @@ class Codec:
         return out
 
     def _short(self, word: str, bar: int, base: int) -> list[int]:
-        """Ends of the pieces; the agenda is a list of ranks, its head found by scanning."""
-        return self._scan(word, lambda span: bar and _skipped(base, span >> 32, span & 0xFFFFFFFF, bar), [])
-
-    def _scan(self, word: str, skips, taken: list[int]) -> list[int]:
-        """The same for any rule of skipping; the spans (start << 32 | end) of the merges made go to ``taken``."""
+        """Ends of the pieces of one word; the agenda is a list of ranks, its head found by scanning."""
         merges, id_of_rank = self.merges, self.id_of_rank
         symbols = [self.ids.get(c, UNKNOWN) for c in word]
         ends = list(range(1, len(word) + 1))
@@ -117,11 +194,9 @@ class Codec:
             if rank == NEVER:
                 break
             i = agenda.index(rank)
-            span = (ends[i - 1] if i else 0) << 32 | ends[i + 1]
-            if skips(span):
+            if bar and _skipped(base, ends[i - 1] if i else 0, ends[i + 1], bar):
                 agenda[i] = NEVER
                 continue
-            taken.append(span)
             symbols[i : i + 2] = [id_of_rank[rank]]
             del ends[i], agenda[i]
             if i:
@@ -165,7 +240,7 @@ class Codec:
 
 
 class Encoder:
-    """Encodes texts under one seed and rate; keeps the agendas of words met again.
+    """Encodes texts under one seed and rate.
 
     ``variants`` has no effect: there is no fixed number of segmentations.
     """
@@ -173,55 +248,109 @@ class Encoder:
     def __init__(self, codec: Codec, rate: float, seed: int, variants: int | None = None):
         self.codec, self.bar = codec, int(rate * (1 << 32))
         self.salt = xxhash.xxh3_64_intdigest(f"{seed}".encode())
-        self.kept = _Agendas(codec) if self.bar else _Kept(codec)
         self.mark = array("i", [codec.bytes_id[b] for b in SPACE.encode()]).tobytes()
 
     def encode(self, text: str | None, row_key: int) -> np.ndarray:
         """Ids of a whole text; empty for null and empty."""
-        if not text:
-            return np.empty(0, np.int32)
-        # A space mark of the text's own goes out as bytes, between what stands before and after it.
-        first, *rest = text.split(SPACE)
-        words = WORD.findall(SPACE + first.replace(" ", SPACE))
-        ids = self._words(words, row_key, 0)
-        if rest:
-            at, parts = len(words), [ids]
-            for part in rest:
-                words = WORD.findall(part.replace(" ", SPACE))
-                parts.append(self._words(words, row_key, at))
-                at += len(words)
-            ids = self.mark.join(parts)
-        return np.frombuffer(ids, np.int32)
-
-    def _words(self, words: list[str], row_key: int, at: int) -> bytes:
-        """Ids of ``words``, which are the text's from position ``at``."""
-        if not self.bar:
-            return b"".join(map(self.kept.__getitem__, words))
-        if len(words) > AT_ONCE:
-            return b"".join(self._words(words[i : i + AT_ONCE], row_key, at + i) for i in range(0, len(words), AT_ONCE))
-        return b"".join(self._drawn(words, _bases(len(words), (row_key ^ self.salt) & _M, at)))
+        return self.encode_many([text], [row_key])[0]
+
+    def encode_many(self, texts: list[str | None], row_keys: list[int]) -> list[np.ndarray]:
+        """Ids of each text under its key, the words of all of them worked on together."""
+        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(texts)
+        some, size = [], 0
+        for k, text in enumerate(texts):
+            if text and SPACE in text:
+                out[k] = self._with_marks(text, row_keys[k])
+            elif text:
+                some.append(k)
+                size += len(text)
+            if some and (size >= CHARACTERS or k == len(texts) - 1):
+                self._together([texts[j] for j in some], [row_keys[j] for j in some], some, out)
+                some, size = [], 0
+        if some:
+            self._together([texts[j] for j in some], [row_keys[j] for j in some], some, out)
+        return out
+
+    def _key(self, row_key: int) -> int:
+        return (row_key ^ self.salt) & _M
+
+    def _together(self, texts: list[str], row_keys: list[int], to: list[int], out: list[np.ndarray]) -> None:
+        """Sets ``out`` at the places ``to``; texts without space marks of their own."""
+        joined = (SPACE + SPACE.join(texts)).replace(" ", SPACE)
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.cumsum([0] + [len(t) + 1 for t in texts])  # where each text's leading mark stands
+        space = chars == ord(SPACE)
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[first[:-1]] = True
+        starts = np.flatnonzero(begins)
+        stops = np.append(starts[1:], len(chars))
+        owner = np.searchsorted(starts, first)  # number of the first word of each text
+        bases = np.concatenate([_bases(b - a, self._key(k), 0) for a, b, k in zip(owner.tolist(), owner[1:].tolist(), row_keys, strict=False)])
+        ids, n = self._words(chars, starts, stops - starts, bases)
+        upto = np.concatenate([[0], np.cumsum(n)])[owner]
+        for j, k in enumerate(to):
+            out[k] = ids[upto[j] : upto[j + 1]]
+
+    def _words(self, chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, how many each has) of words given as runs of ``chars``."""
+        codec = self.codec
+        symbols = np.append(codec.of_char[chars], np.full(SHORT, UNKNOWN, np.int32))
+        n = np.empty(len(starts), np.int64)
+        parts: list[tuple] = []
+        least = 0
+        for width in LENGTHS:
+            mine = np.flatnonzero((lengths > least) & (lengths <= width))
+            least = width
+            for lo in range(0, len(mine), AT_ONCE):
+                w = mine[lo : lo + AT_ONCE]
+                rows = symbols[starts[w][:, None] + np.arange(width)]
+                left, ends, count = codec.table(rows, lengths[w].astype(np.int64), bases[w], self.bar)
+                row, col = np.nonzero(np.arange(width)[None, :] < count[:, None])
+                piece = left[row, col]
+                size = np.ones(len(piece), np.int64)
+                bytes_of = {}
+                for j in np.flatnonzero(piece == UNKNOWN).tolist():  # a character without a piece goes out as its bytes
+                    char = chr(chars[starts[w[row[j]]] + ends[row[j], col[j]] - 1])
+                    bytes_of[j] = [codec.bytes_id[b] for b in char.encode("utf-8", "surrogatepass")]
+                    size[j] = len(bytes_of[j])
+                n[w] = np.bincount(row, size, len(w)).astype(np.int64)
+                flat = np.repeat(piece, size)
+                if bytes_of:
+                    at = np.cumsum(size) - size
+                    for j, own in bytes_of.items():
+                        flat[at[j] : at[j] + len(own)] = own
+                parts.append((w, flat))
+        for w in np.flatnonzero(lengths > SHORT).tolist():
+            word = chars[starts[w] : starts[w] + lengths[w]].tobytes().decode("utf-32-le", "surrogatepass")
+            ids = np.frombuffer(codec.word(word, self.bar, int(bases[w])), np.int32)
+            n[w] = len(ids)
+            parts.append((np.array([w]), ids))
+        out = np.empty(int(n.sum()), np.int32)
+        offset = np.cumsum(n) - n
+        for w, flat in parts:
+            own = n[w]
+            out[np.repeat(offset[w] - (np.cumsum(own) - own), own) + np.arange(len(flat))] = flat
+        return out, n
 
     def _drawn(self, words: list[str], bases: np.ndarray) -> list[bytes]:
-        nodes = [self.kept[w] for w in words]
-        out = [x.ids for x in nodes]
-        for i in [i for i, x in enumerate(out) if x is None]:
-            out[i] = self.codec.word(words[i], self.bar, int(bases[i])).tobytes()
-        live, roots = np.arange(len(words)), nodes
-        while True:
-            spans = np.frombuffer(b"".join([x.spans for x in nodes]), np.uint64)
-            to = np.cumsum([x.n for x in nodes], dtype=np.int64)
-            hit = np.flatnonzero(_below(np.repeat(bases[live], np.diff(to, prepend=0)), spans, self.bar))
-            if not hit.size:
-                return out
-            # The first skip of each word that has one leads to the agenda that goes on without it.
-            owner = np.searchsorted(to, hit, side="right")
-            first = np.flatnonzero(np.diff(owner, prepend=-1))
-            owner = owner[first]
-            nth = hit[first] - to[owner] + np.array([nodes[i].n for i in owner.tolist()])
-            live = live[owner]
-            nodes = [self.kept.after(nodes[i], j, roots[k]) for i, j, k in zip(owner.tolist(), nth.tolist(), live.tolist(), strict=True)]
-            for k, x in zip(live.tolist(), nodes, strict=True):
-                out[k] = x.ids
+        """Ids of each word under its base."""
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.array([len(w) for w in words], np.int64)
+        ids, n = self._words(chars, np.cumsum(lengths) - lengths, lengths, bases)
+        to = np.cumsum(n).tolist()
+        return [ids[b - k : b].tobytes() for b, k in zip(to, n.tolist(), strict=True)]
+
+    def _with_marks(self, text: str, row_key: int) -> np.ndarray:
+        """A text with space marks of its own: these go out as bytes, between what stands before and after them."""
+        first, *rest = text.split(SPACE)
+        words = WORD.findall(SPACE + first.replace(" ", SPACE))
+        bounds = [len(words)]
+        for part in rest:
+            words += WORD.findall(part.replace(" ", SPACE))
+            bounds.append(len(words))
+        drawn = self._drawn(words, _bases(len(words), self._key(row_key), 0)) if words else []
+        return np.frombuffer(self.mark.join(b"".join(drawn[a:b]) for a, b in zip([0, *bounds], bounds, strict=False)), np.int32)
 
 
 def _bases(n: int, key: int, at: int) -> np.ndarray:
@@ -240,79 +369,6 @@ def _below(bases: np.ndarray, spans: np.ndarray, bar: int) -> np.ndarray:
         return (((h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(24)) & np.uint64(0xFFFFFFFF) < np.uint64(bar)
 
 
-class _Agenda:
-    """How a word's agenda goes with ``skipped`` left out: ids if no more is skipped, the ``n`` spans still to draw for."""
-
-    __slots__ = ("ids", "n", "next", "passed", "size", "skipped", "spans", "word")
-
-    def __init__(self, codec: Codec, word: str, skipped: frozenset, passed: int):
-        taken: list[int] = []
-        self.ids = codec._ids(word, codec._scan(word, skipped.__contains__, taken)).tobytes()
-        self.spans, self.n = array("Q", taken[passed:]).tobytes(), len(taken) - passed
-        self.word, self.skipped, self.passed, self.next, self.size = word, skipped, passed, None, 1
-
-
-class _Unkept:
-    """Stands for words too long to keep."""
-
-    ids, spans, n = None, b"", 0
-
-
-class _Agendas(dict):
-    """Word to agenda, in two generations: what the older one still serves moves to the younger."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec, self.old, self.count = codec, {}, 0
-
-    def __missing__(self, word: str):
-        if len(word) > KEEP_LENGTH:
-            return _Unkept
-        found = self.old.get(word)
-        if found is None:
-            found = _Agenda(self.codec, word, frozenset(), 0)
-        elif found.size > KEEP // 10:
-            found.next, found.size = None, 1
-        if self.count >= KEEP:
-            self.old = dict(self)
-            self.clear()
-            self.count = 0
-        self.count += found.size
-        self[word] = found
-        return found
-
-    def after(self, node: _Agenda, nth: int, root: _Agenda) -> _Agenda:
-        """The agenda that goes on from ``node`` when its ``nth`` span is skipped."""
-        if node.next is None:
-            node.next = {}
-        found = node.next.get(nth)
-        if found is None:
-            span = int.from_bytes(node.spans[8 * nth : 8 * nth + 8], sys.byteorder)
-            found = node.next[nth] = _Agenda(self.codec, node.word, node.skipped | {span}, node.passed + nth)
-            root.size += 1
-            self.count += 1
-        return found
-
-
-class _Kept(dict):
-    """Word to ids as bytes without dropout, in two generations."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec, self.old = codec, {}
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            found = self.codec.word(word, 0, 0).tobytes()
-        if len(word) <= KEEP_LENGTH:
-            if len(self) >= KEEP:
-                self.old = dict(self)
-                self.clear()
-            self[word] = found
-        return found
-
-
 def load(model: bytes) -> Codec:
     key = zlib.crc32(model)
     if key not in _codecs:
@@ -328,7 +384,7 @@ _encoders: dict = {}
 
 
 def _encoder(model: bytes, rate: float, seed: int) -> Encoder:
-    """One encoder for a worker's life: tasks go on with the words kept so far."""
+    """One encoder for a worker's life."""
     key = (zlib.crc32(model), rate, seed)
     if key not in _encoders:
         _encoders.clear()
@@ -342,7 +398,7 @@ def _encode(model: bytes, rate: float, seed: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                ids = [encoder.encode(t.as_py(), row_key(seed, d.as_py())) for d, t in zip(*part.columns, strict=True)]
+                ids = encoder.encode_many(part.column(1).to_pylist(), [row_key(seed, d) for d in part.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run
@@ -363,14 +419,13 @@ def _check(model: bytes, rate: float, seed: int):
         encoder = _encoder(model, rate, seed)
         decode = encoder.codec.decode
         for batch in batches:
-            n, crc, same = [], [], []
-            for d, t in zip(*batch.columns, strict=True):
-                text = t.as_py()
-                ids = encoder.encode(text, row_key(seed, d.as_py()))
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.tobytes()))
-                same.append(decode(ids.tolist()) == (text or ""))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "lossless"])
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                texts = part.column(1).to_pylist()
+                every = encoder.encode_many(texts, [row_key(seed, d) for d in part.column(0).to_pylist()])
+                same = [decode(ids.tolist()) == (text or "") for ids, text in zip(every, texts, strict=True)]
+                columns = [pa.array([len(x) for x in every], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in every], pa.int64()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n_tokens", "ids_crc32", "lossless"])
 
     return run
 
