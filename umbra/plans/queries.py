@@ -35,9 +35,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Below so many bytes for each core a table is dealt anew before detection, whose work far outweighs that of a shuffle.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores: one file of one row group would be a single task's work. Larger ones stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < SMALL * cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, entities): an annotated document for each customer."""
-    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    df = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id")))
     return docs.annotated(df, F.col("doc_id"), F.col("doc_id"))
 
 
@@ -502,7 +513,7 @@ def redacted_emails(spark, sf_dir):
 @query
 def detected_documents(spark, sf_dir):
     """The whole detection over documents: entities by category and layer."""
-    found = detect(table(spark, sf_dir, "documents")).select("doc_id", F.explode("entities").alias("e"))
+    found = detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", F.explode("entities").alias("e"))
     return found.groupBy("e.entity_group", "e.source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
